@@ -37,7 +37,7 @@ def repair(text: str) -> str:
 
 def unescape(text: str) -> str:
     for entity, char in (
-        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"),
+        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&"),
     ):
         text = f"replace({text}, {lit(entity)}, {lit(char)})"
     return text
@@ -371,8 +371,8 @@ UNION ALL SELECT feature, 0.99::DOUBLE, round(quantile_cont(value, 0.99), 6) FRO
         "class_histogram": histogram_sql(),
         "box_stats": box_sql(),
         "top_words": f"""WITH {stage()},
-wd AS (SELECT label, unnest(regexp_extract_all(regexp_replace(lower(text), '[^a-z]*[\\pL\\pN_]*[^\\x00-\\x7F\\PL][\\pL\\pN_]*|[a-z]*[\\pN_][\\pL\\pN_]*', ' ', 'g'), '[a-z]+')) AS word FROM cleaned),
-ct AS (SELECT label, word, count(*) AS n FROM wd WHERE length(word) >= 3 AND NOT list_contains({sql_list(lx.PROFILE_STOP_WORDS)}, word) GROUP BY ALL),
+wd AS (SELECT label, unnest(regexp_split_to_array(lower(text), '[^\\pL\\pN_]+')) AS word FROM cleaned),
+ct AS (SELECT label, word, count(*) AS n FROM wd WHERE regexp_full_match(word, '[a-z]{{3,}}') AND NOT list_contains({sql_list(lx.PROFILE_STOP_WORDS)}, word) GROUP BY ALL),
 rk AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY n DESC, word)::INTEGER AS rank, word, n FROM ct)
 SELECT * FROM rk WHERE rank <= 30""",
         "keyword_share": keyword_sql(),

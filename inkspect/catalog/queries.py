@@ -6,9 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkspect.functions import text as tx
-from inkspect.operators import blocks, bigram, clean, corpus, profile, ranks
-from inkspect.session import spread, staged
+from inkspect.operators import (
+    bigram, blocks, chunks, classifiers, clean, corpus, ensemble, folds, metrics, neighbours, profile,
+    ranks, smote, style,
+)
+from inkspect.plans import features as ft
+from inkspect.plans import scoring, selection
+from inkspect.session import scratch_path, spread, staged
 from inkspect.sources.tables import labelled, table
+from inkspect.streaming.scorer import arriving, score_stream
+from inkspect.streaming.scorer import scored as scored_rows
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -218,7 +225,7 @@ def keyword_share(spark, d):
 
 
 def feature_corr(spark, d):
-    corr = corpus.correlations(_tested(spark, d))
+    corr = corpus.correlations(staged(_tested(spark, d), "profile"))
     return corr.select("feature_a", "feature_b", F.round("r", 5).alias("r"))
 
 
@@ -252,7 +259,7 @@ def block_f(spark, d):
 def block_a_hashed(spark, d):
     vectors = blocks.hashed_vectors(_docs(spark, d))
     return (
-        vectors.select("doc_id", F.posexplode("hashed").alias("bucket", "weight"))
+        vectors.select("doc_id", F.posexplode_outer("hashed").alias("bucket", "weight"))
         .where("weight > 0")
         .select("doc_id", "bucket", r6("weight"))
     )
@@ -270,3 +277,265 @@ def bigram_ppl_prompts(spark, d):
     turns = spread(table(spark, d, "conversations").select("conv_id", "turn", "text"), "conv_id")
     scored = bigram.perplexity(turns, model, "conv_id", "turn")
     return scored.select("conv_id", "turn", F.round("ppl", 4).alias("ppl"))
+
+
+def feature_vector(spark, d):
+    rows = ft.feature_table(_docs(spark, d))
+    return rows.select(
+        "doc_id", F.size("v").alias("dims"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 4).alias("total")
+    )
+
+
+def feature_parity(spark, d):
+    """Blocks from the batch plan against the same blocks stored and read back."""
+    docs = _docs(spark, d)
+    columns = [*blocks.BLOCK_B, *blocks.BLOCK_C, *blocks.BLOCK_D, *blocks.BLOCK_F]
+    return ft.parity(staged(blocks.numeric_blocks(docs), "parity"), blocks.numeric_blocks(docs), columns)
+
+
+# -- style and scoring ------------------------------------------------------
+
+EXACT_SIGNALS = [s for s in style.SIGNALS if s != "has_typos"]
+
+
+def style_signals(spark, d):
+    return style.style_signals(_docs(spark, d)).select("doc_id", *[r6(s) for s in EXACT_SIGNALS], "meta_hits")
+
+
+def style_prompts(spark, d):
+    turns = spread(table(spark, d, "conversations").select("conv_id", "turn", "text"), "conv_id")
+    return style.style_signals(turns).select("conv_id", "turn", *[r6(s) for s in EXACT_SIGNALS], "meta_hits")
+
+
+def style_composite(spark, d):
+    return style.style_signals(_docs(spark, d)).select("doc_id", "has_typos", r6("ai_style"))
+
+
+def window_chunks(spark, d):
+    return chunks.windows(_docs(spark, d)).select("doc_id", "pos", "n_tokens", F.md5("text").alias("text_md5"))
+
+
+def _mock_scorer(df):
+    """Reproducible probability from the text's md5, so SQL can repeat it."""
+    return df.withColumn("p", F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("long") / float(1 << 32))
+
+
+def chunk_score(spark, d):
+    return chunks.sliding_score(_docs(spark, d), _mock_scorer).select("doc_id", r6("p"))
+
+
+def sentence_consistency(spark, d):
+    rows = chunks.sentence_consistency(_docs(spark, d), _mock_scorer)
+    return rows.select(
+        "doc_id", *[F.round(f"sent.{c}", 6).alias(c) for c in ("mean", "ai_frac", "std")], "sent.n_sents"
+    )
+
+
+def sentence_ppl(spark, d):
+    docs = _docs(spark, d)
+    rows = chunks.sentence_perplexity(docs, bigram.fit(docs))
+    return rows.select("doc_id", *[F.round(f"ppl.{c}", 4).alias(c) for c in ("mean_ppl", "std_ppl", "cv")])
+
+
+def _decided(spark, d):
+    """Decisions over real style signals and md5-derived probabilities in three bands.
+
+    The hash of the id drives the detectors into every branch of the rules.
+    """
+    docs = _docs(spark, d)
+    h = F.md5(F.col("doc_id").cast("string"))
+    draws = {
+        name: F.conv(F.substring(h, first, 4), 16, 10).cast("long") / 65536.0
+        for name, first in (("x", 1), ("o", 5), ("f", 9))
+    }
+    signals = style.style_signals(docs).select(
+        "doc_id", "meta_hits", "n_words",
+        *[F.round(s, 6).alias(s) for s in [*EXACT_SIGNALS, "has_typos"]], r6("ai_style"),
+        # the low half of the draws is squared, so near-certain "human" is common
+        *[F.when(v < 0.5, v * v).otherwise(v).alias(n) for n, v in draws.items()],
+        F.lit(None).cast("struct<mean:double,ai_frac:double,std:double>").alias("sent"),
+        F.lit(None).cast("struct<low_ppl_signal:double,low_var_signal:double>").alias("ppl"),
+    )
+    return ensemble.decide(signals)
+
+
+def ensemble_verdict(spark, d):
+    return _decided(spark, d).select(
+        "doc_id", "mode", "verdict", "agreement", *[r6(c) for c in ("blend", "shift", "p_ai", "confidence", "model_std")]
+    )
+
+
+def verdict_rollup(spark, d):
+    return ensemble.verdict_rollup(_decided(spark, d)).select("mode", "verdict", "n_texts", r6("mean_confidence"))
+
+
+def probability_table(spark, d):
+    return ensemble.probability_table(_decided(spark, d)).select("doc_id", "model", "class", F.round("percent", 4).alias("percent"))
+
+
+def _models(spark, d):
+    labelled_docs = clean.clean(_stage(spark, d))
+    intent = clean.clean(_stage(spark, d, "toxic"))
+    return scoring.train(labelled_docs, intent, iterations=10)
+
+
+def score_documents(spark, d):
+    scored = scoring.score(_docs(spark, d), _models(spark, d))
+    return scored.select("doc_id", "x", "o", "f", "mode", "p_ai", "verdict", "agreement", "intent", "stage2_applicable")
+
+
+def stream_scores(spark, d):
+    models = _models(spark, d)
+    base = scratch_path(spark, "stream")
+    source = arriving(spark, d, pattern="documents.parquet")
+    query = score_stream(source, models, f"{base}/scores", f"{base}/checkpoint", once=True)
+    query.awaitTermination()
+    return scored_rows(spark, f"{base}/scores").select("doc_id", "batch_id", "mode", "p_ai", "verdict", "intent")
+
+
+# -- selection --------------------------------------------------------------
+
+
+def kfold(spark, d):
+    labels = table(spark, d, "labels").select("doc_id", F.col("quality").alias("label"))
+    return folds.kfold(labels).select("doc_id", "label", "fold")
+
+
+def stratified_split(spark, d):
+    labels = table(spark, d, "labels").select("doc_id", F.col("toxic").alias("label"))
+    out = None
+    for seed in selection.SEEDS:
+        part = folds.split(labels, 0.2, seed).select("doc_id", "split", F.lit(seed).alias("seed"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def holdout_split(spark, d):
+    labels = table(spark, d, "labels").select("doc_id", F.col("quality").alias("label"))
+    return folds.holdout(labels).groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _vectors(spark, d):
+    """Embedding rows with label 1 for class 0 and 0 for the rest."""
+    return table(spark, d, "embeddings").select(
+        "vec_id", F.col("embedding").cast("array<double>").alias("v"), F.when(F.col("label") == 0, 1).otherwise(0).alias("label")
+    )
+
+
+def smote_rows(spark, d):
+    rows = smote.synthesize(_vectors(spark, d), id_col="vec_id")
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    return rows.select("vec_id", "draw", "nn_id", "label", F.round(total, 6).alias("total"))
+
+
+def scaled(spark, d):
+    rows = classifiers.scale(_vectors(spark, d), "vec_id", "v")
+    return rows.select("vec_id", F.posexplode_outer("z").alias("dim", "z")).select("vec_id", "dim", r6("z"))
+
+
+def knn_classify(spark, d):
+    """Leave-one-out 5-NN vote on the embeddings."""
+    rows = _vectors(spark, d)
+    found = neighbours.nearest(rows, rows, 5, "vec_id", "v", skip_self=True)
+    return neighbours.classify(found, rows, "vec_id").select(F.col("qid").alias("vec_id"), "prediction", r6("p1"))
+
+
+def knn_neighbours(spark, d):
+    """The same neighbours by way of cells and blocks."""
+    rows = _vectors(spark, d)
+    found = neighbours.nearest(rows, rows, 5, "vec_id", "v", skip_self=True, max_broadcast_bytes=0, block_rows=256)
+    return found.select(F.col("qid").alias("vec_id"), F.col("pid").alias("nn_id"), "rank", r6("d2"))
+
+
+def _nb(spark, d):
+    return classifiers.gaussian_nb(_vectors(spark, d), "vec_id", "v")
+
+
+def gaussian_nb(spark, d):
+    return _nb(spark, d).select("vec_id", "label", "prediction", F.round("margin", 5).alias("margin"))
+
+
+def confusion(spark, d):
+    return metrics.confusion(_nb(spark, d))
+
+
+def metric_table(spark, d):
+    out = metrics.binary_metrics(_nb(spark, d).withColumn("model", F.lit("GaussianNB")), "model")
+    return out.select("model", *[r6(m) for m in metrics.METRICS if m != "roc_auc"])
+
+
+def class_report(spark, d):
+    out = metrics.report(_nb(spark, d).withColumn("model", F.lit("GaussianNB")), "model")
+    return out.select("model", "class", *[r6(c) for c in ("precision", "recall", "f1")], "support")
+
+
+def roc_auc(spark, d):
+    """Three length measures as scores for the quality label."""
+    wide = profile.row_profile(_stage(spark, d)).select("label", *HIST_FEATURES)
+    long = ranks.unpivot(wide, HIST_FEATURES, "label")
+    scores = long.select(F.col("feature").alias("model"), F.col("value").alias("score"), "label")
+    return ranks.roc_auc(scores).select("model", r6("roc_auc"))
+
+
+def _threshold_scores(spark, d, group):
+    """Predictions from document length under md5-assigned groups: real labels, no fit."""
+    docs = _stage(spark, d).select("doc_id", "label", F.length("text").alias("c"))
+    cuts = F.array(*[F.struct(F.lit(f"longer_than_{c}").alias("model"), F.lit(c).alias("cut")) for c in (200, 800, 2000)])
+    rows = docs.select("doc_id", "label", "c", F.inline(cuts))
+    return rows.select(
+        "doc_id", "label", "model", (F.col("c") > F.col("cut")).cast("int").alias("prediction"),
+        F.col("c").cast("double").alias("p1"), group.alias("part"),
+    )
+
+
+def _part(k):
+    return F.pmod(F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long"), F.lit(k)).cast("int")
+
+
+def ranking(spark, d):
+    per_fold = selection.evaluate(_threshold_scores(spark, d, _part(5)), "model", "part")
+    return metrics.fold_summary(per_fold).select(
+        "model", "accuracy_mean", "f1_macro_mean", "f1_macro_std", "balanced_accuracy_mean", "roc_auc_mean", "ranking_score"
+    )
+
+
+def _per_seed(spark, d):
+    rows = selection.evaluate(_threshold_scores(spark, d, _part(5)), "model", "part")
+    seed = F.get(F.array(*[F.lit(s) for s in selection.SEEDS]), F.col("part"))
+    return rows.select("model", seed.alias("seed"), "f1_macro", "roc_auc", "balanced_accuracy")
+
+
+def stability_summary(spark, d):
+    out = metrics.stability_summary(_per_seed(spark, d))
+    return out.select("model", *[r6(c) for c in out.columns if c not in ("model", "stability_score")], "stability_score")
+
+
+def seed_pivot(spark, d):
+    out = metrics.seed_matrix(_per_seed(spark, d), selection.SEEDS)
+    return out.select("model", *[F.round(F.col(f"`{s}`"), 6).alias(f"seed_{s}") for s in selection.SEEDS])
+
+
+# The loops run the quick classifiers; the others are the same calls by name.
+QUICK = {"LogisticRegression": {"maxIter": 20}, "GaussianNB": {}, "DecisionTree": {"maxDepth": 5}}
+
+
+def _table(spark, d, label="quality"):
+    return staged(ft.feature_table(staged(clean.clean(_stage(spark, d, label)), "clean")), "features")
+
+
+def screening(spark, d):
+    per_fold = selection.screen(_table(spark, d), list(QUICK), k=5, options=QUICK)
+    return metrics.fold_summary(per_fold)
+
+
+def stability_run(spark, d):
+    return selection.stability(_table(spark, d), ["GaussianNB"], seeds=selection.SEEDS[:2])
+
+
+def final_model(spark, d):
+    parts = staged(folds.holdout(_table(spark, d)), "parts")
+    ranked = metrics.fold_summary(
+        selection.screen(parts.where("split = 'train'"), ["GaussianNB", "DecisionTree"], k=2, options=QUICK)
+    )
+    _, _, report = selection.train_final(parts, ranked, scratch_path(spark, "champion"))
+    return report

@@ -18,6 +18,13 @@ NAMES = [
     "class_histogram", "dashboard_histogram", "box_stats", "top_words", "keyword_share",
     "feature_corr", "vector_summary",
     "block_a_hashed", "block_b", "block_c", "block_d", "block_f", "bigram_ppl", "bigram_ppl_prompts",
+    "feature_vector", "feature_parity",
+    "style_signals", "style_prompts", "style_composite", "window_chunks", "chunk_score",
+    "sentence_consistency", "sentence_ppl", "ensemble_verdict", "verdict_rollup", "probability_table",
+    "kfold", "stratified_split", "holdout_split", "smote_rows", "scaled", "knn_classify",
+    "knn_neighbours", "gaussian_nb", "confusion", "metric_table", "class_report", "roc_auc",
+    "ranking", "stability_summary", "seed_pivot",
+    "screening", "stability_run", "final_model", "score_documents", "stream_scores",
 ]
 
 

@@ -77,15 +77,19 @@ def outside_class(text: Column, char_class: str) -> Column:
     return F.length(F.regexp_replace(text, f"[{char_class}]+", ""))
 
 
-def members(words: Column, lexicon: list[str]) -> Column:
-    """How many tokens belong to a word list."""
-    return F.size(F.filter(words, lambda w: w.isin(lexicon)))
+def quoted(words: list[str]) -> str:
+    """A word list as SQL string literals."""
+    return ", ".join("'" + w.replace("'", "\\'") + "'" for w in words)
 
 
-def phrases_present(text: Column, phrases: list[str]) -> Column:
-    """How many distinct phrases occur somewhere in the text."""
-    hits = [F.contains(text, F.lit(p)).cast("int") for p in phrases]
-    return sum(hits[1:], hits[0])
+def members(words: str, lexicon: list[str]) -> Column:
+    """How many entries of a token column belong to a word list."""
+    return F.expr(f"size(filter({words}, w -> w in ({quoted(lexicon)})))")
+
+
+def phrases_present(text: str, phrases: list[str]) -> Column:
+    """How many of the distinct phrases occur somewhere in a text column."""
+    return F.expr(f"size(filter(array({quoted(phrases)}), p -> contains({text}, p)))")
 
 
 def shouted(words: Column) -> Column:

@@ -7,6 +7,8 @@ row-local apart from the character entropy and the document frequencies.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,7 +80,7 @@ def row_blocks(df: DataFrame) -> DataFrame:
         "sty_sent_std": F.sqrt("_var"),
         "sty_unique_ratio": unique,
         "sty_hapax": _over(F.col("_once"), nw),
-        "sty_stop_ratio": _over(tx.members(F.col("_lw"), lx.ENGLISH_STOP_WORDS), nw),
+        "sty_stop_ratio": _over(tx.members("_lw", lx.ENGLISH_STOP_WORDS), nw),
         "sty_punct_density": _over(tx.in_class(text, r"!-/:-@\[-`{-~"), nc),
         "sty_capital_ratio": _over(tx.outside_class(text, r"\P{Lu}"), nc),
         "sty_digit_ratio": _over(tx.in_class(text, r"\p{Nd}"), nc),
@@ -94,7 +96,7 @@ def row_blocks(df: DataFrame) -> DataFrame:
         "ling_readability": F.greatest(F.lit(0.0), F.least(F.lit(100.0), flesch)) / 100.0,
         "str_q_density": _over(tx.occurrences(text, "?"), nc),
         "str_exc_density": _over(tx.occurrences(text, "!"), nc),
-        "str_imp_ratio": _over(tx.members(F.col("_so"), lx.STRUCTURAL_IMPERATIVES), ns),
+        "str_imp_ratio": _over(tx.members("_so", lx.STRUCTURAL_IMPERATIVES), ns),
         "str_you_ratio": _over(tx.occurrences(F.col("_lt"), "you"), nw),
         "str_modal_ratio": _over(tx.occurrences(F.col("_lt"), "can"), nw),
         "str_quote_density": _over(tx.occurrences(text, '"'), nc),
@@ -144,10 +146,14 @@ def term_frequencies(df: DataFrame, id_col: str = "doc_id", dims: int = HASH_DIM
     )
 
 
-def document_frequencies(tf: DataFrame, dims: int = HASH_DIMS) -> DataFrame:
-    """(bucket, df): texts using each bucket; ``dims`` rows after map-side combine."""
+def document_frequencies(tf: DataFrame) -> DataFrame:
+    """(bucket, df): texts using each bucket; one row per bucket after map-side combine.
+
+    The outer form of explode is used wherever an array is expensive: the inner
+    form adds a "not empty" filter that would compute the array a second time.
+    """
     return (
-        tf.select(F.posexplode("tf").alias("bucket", "n"))
+        tf.select(F.posexplode_outer("tf").alias("bucket", "n"))
         .where("n > 0")
         .groupBy("bucket")
         .agg(F.count(F.lit(1)).alias("df"))
@@ -159,17 +165,9 @@ def fit_idf(tf: DataFrame, dims: int = HASH_DIMS) -> list[float]:
 
     The fitted state is ``dims`` numbers, the same that an IDF model would hold.
     """
-    sums = tf.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(F.get("tf", F.lit(i)) > 0).alias(f"d{i}") for i in range(dims)],
-    )
-    row = sums.select(
-        F.transform(
-            F.array(*[F.col(f"d{i}") for i in range(dims)]),
-            lambda d: F.log((F.col("n") + 1).cast("double") / (d + 1)),
-        ).alias("idf")
-    ).first()
-    return list(row["idf"])
+    n = tf.count()
+    found = {r["bucket"]: r["df"] for r in document_frequencies(tf).collect()}
+    return [math.log((n + 1) / (found.get(i, 0) + 1)) for i in range(dims)]
 
 
 def hashed_vectors(

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -179,7 +183,7 @@ def top_words(df: DataFrame, k: int = 30) -> DataFrame:
     # Word edges are "no word character next to it", letters and marks included.
     word = r"(?<![\p{L}\p{N}_])[a-z]{3,}(?![\p{L}\p{N}_])"
     counts = (
-        df.select("label", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(word), F.lit(0))).alias("word"))
+        df.select("label", F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit(word), F.lit(0))).alias("word"))
         .where(~F.col("word").isin(lx.PROFILE_STOP_WORDS))
         .groupBy("label", "word")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -222,22 +226,20 @@ def keyword_shares(df: DataFrame, by: str = "label", literal_case: bool = False)
 
 
 def correlations(profile: DataFrame, features: list[str] = CORRELATED_FEATURES) -> DataFrame:
-    """Pearson correlation of every feature pair, from one aggregation."""
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    row = profile.agg(*[_corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.array(
-        *[
-            F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"r{i}").alias("r"))
-            for i, (a, b) in enumerate(pairs)
-        ]
-    )
-    return row.select(F.inline(rows))
-
+    """(feature_a, feature_b, r): Pearson correlation of every pair of features.
 
-def _corr(a: str, b: str) -> Column:
-    # A constant feature has no correlation: null, not NaN.
-    value = F.corr(a, b)
-    return F.when(~F.isnan(value), value)
+    The matrix is features x features whatever the number of texts; a constant
+    feature has no correlation and gets null.
+    """
+    vectors = VectorAssembler(inputCols=features, outputCol="_f").transform(profile).select("_f")
+    matrix = Correlation.corr(vectors, "_f").first()[0].toArray()
+    rows = [
+        (a, b, None if math.isnan(matrix[i][j]) else float(matrix[i][j]))
+        for i, a in enumerate(features)
+        for j, b in enumerate(features)
+        if i < j
+    ]
+    return profile.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, r double")
 
 
 def vector_summary(df: DataFrame, vector: str, id_col: str) -> DataFrame:

@@ -44,7 +44,7 @@ def _over(count: Column, whole: Column) -> Column:
 def char_counts(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, char, n), combined before the shuffle to one row per distinct character."""
     return (
-        df.select(id_col, F.explode(F.split("text", "")).alias("char"))
+        df.select(id_col, F.explode_outer(F.split("text", "")).alias("char"))
         .where("char <> ''")
         .groupBy(id_col, "char")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -65,7 +65,8 @@ def word_counts(df: DataFrame, id_col: str = "doc_id", lower: bool = True) -> Da
     """(doc_id, word, n) as a table, for callers that need the words themselves."""
     text = F.lower("text") if lower else F.col("text")
     return (
-        df.select(id_col, F.explode(tx.tokens(text)).alias("word"))
+        df.select(id_col, F.explode_outer(tx.tokens(text)).alias("word"))
+        .where("word IS NOT NULL")
         .groupBy(id_col, "word")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -119,7 +120,7 @@ def row_profile(df: DataFrame) -> DataFrame:
         F.when(has_words, _over(F.size(F.filter(freq, lambda n: n == 1)), F.col("_types")))
         .otherwise(0.0)
         .alias("hapax_ratio"),
-        _over(tx.members(lowered, lx.PROFILE_STOP_WORDS), nw).alias("stop_ratio"),
+        _over(tx.members("_lw", lx.PROFILE_STOP_WORDS), nw).alias("stop_ratio"),
         _over(tx.in_class(F.col("text"), r".,;:!?()\[\]{}\"'\-"), nc).alias("punct_density"),
         _over(tx.occurrences(F.col("text"), "?"), ns).alias("question_density"),
         _over(tx.occurrences(F.col("text"), "!"), ns).alias("exclaim_density"),
@@ -134,9 +135,9 @@ def row_profile(df: DataFrame) -> DataFrame:
         F.when(
             has_words, F.log2(nw.cast("double")) - tx.plogp(freq) / nw
         ).otherwise(0.0).alias("word_entropy"),
-        _over(tx.members(lowered, lx.SECOND_PERSON), nw).alias("you_ratio"),
-        _over(tx.members(lowered, lx.MODAL_VERBS), nw).alias("modal_ratio"),
-        _over(tx.members(F.col("_so"), lx.PROFILE_IMPERATIVES), ns).alias("imp_ratio"),
+        _over(tx.members("_lw", lx.SECOND_PERSON), nw).alias("you_ratio"),
+        _over(tx.members("_lw", lx.MODAL_VERBS), nw).alias("modal_ratio"),
+        _over(tx.members("_so", lx.PROFILE_IMPERATIVES), ns).alias("imp_ratio"),
         _over(tx.in_class(F.col("text"), "\"'"), nc).alias("quote_density"),
         F.when(has_words & (F.col("_n") > 0), F.greatest(F.lit(0.0), F.least(F.lit(100.0), flesch)))
         .otherwise(0.0)
