@@ -281,8 +281,8 @@ def bigram_rows(src: str, keys: str, name: str) -> str:
     """CTE of (keys, w1, w2) with a start mark before the first word."""
     return f"""
 {name}_w AS (SELECT {keys}, {words('lower(text)')} AS w FROM {src}),
-{name} AS (SELECT {keys}, CASE WHEN i = 1 THEN '<s>' ELSE w[i - 1] END AS w1, w[i] AS w2
-  FROM (SELECT {keys}, w, unnest(range(1, len(w) + 1)) AS i FROM {name}_w))"""
+{name} AS (SELECT {keys}, CASE WHEN nr = 1 THEN '<s>' ELSE w[nr - 1] END AS w1, w[nr] AS w2
+  FROM (SELECT {keys}, w, unnest(range(1, len(w) + 1)) AS nr FROM {name}_w))"""
 
 
 BIGRAM_MODEL = f"""{bigram_rows('documents', 'doc_id', 'bg')},
