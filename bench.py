@@ -32,7 +32,7 @@ def main() -> None:
         start = time.time()
         all_queries[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.time() - start, 3)
-        print(name, seconds[name], file=sys.stderr, flush=True)
+        print("\n", name, seconds[name], file=sys.stderr, flush=True)
     print(
         json.dumps(
             {

@@ -23,7 +23,7 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stage(spark: SparkSession, d: str, label: str = "quality") -> DataFrame:
-    return spread(labelled(spark, d, label), "doc_id")
+    return labelled(spark, d, label)
 
 
 def r6(name: str):

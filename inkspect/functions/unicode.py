@@ -28,6 +28,12 @@ def _unescape_nfc(texts: pd.Series) -> pd.Series:
     )
 
 
+# Marked non-deterministic so that Catalyst keeps filters on the repaired text
+# above the repair instead of copying the Python call below joins and shuffles.
+_nfc = _nfc.asNondeterministic()
+_unescape_nfc = _unescape_nfc.asNondeterministic()
+
+
 def _only_where(needed: Column, repair, text: Column) -> Column:
     # Rows that need no repair cross to Python as nulls and keep the JVM string.
     return F.coalesce(repair(F.when(needed, text)), text)

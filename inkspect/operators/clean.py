@@ -69,7 +69,9 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     with very many copies never meets in one task. Only texts that do repeat
     are joined back; Spark broadcasts that side if its measured size allows.
     """
-    digest = F.md5(F.col(text_col))
+    # Never null, so the join adds no "is not null" filter that would repeat the
+    # cleaning below the shuffle of the input.
+    digest = F.coalesce(F.md5(F.col(text_col)), F.lit(""))
     repeated = (
         df.select(digest.alias("_md5"), F.col(id_col).alias("_id"))
         .groupBy("_md5")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkspect.session import spread
+
 RAW = T.StructType(
     [T.StructField("text", T.StringType()), T.StructField("label", T.StringType())]
 )
@@ -108,4 +110,5 @@ def labelled(spark: SparkSession, folder: str, label: str) -> DataFrame:
     measured size allows and sorts both sides on the unique ``doc_id`` otherwise.
     """
     marks = table(spark, folder, "labels").select("doc_id", F.col(label).alias("label"))
-    return table(spark, folder, "documents").select("doc_id", "text").join(marks, "doc_id")
+    texts = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    return texts.join(marks, "doc_id")
