@@ -151,8 +151,13 @@ def text_stats(spark, d):
     return profile.text_stats(_docs(spark, d))
 
 
+def _cleaned(spark, d, label="quality"):
+    """The stored clean table that the stages after cleaning start from."""
+    return staged(clean.clean(_stage(spark, d, label)), "clean")
+
+
 def _profile(spark, d, label="quality"):
-    return profile.profile(clean.clean(_stage(spark, d, label)))
+    return profile.profile(spread(_cleaned(spark, d, label), "doc_id"))
 
 
 def feature_moments(spark, d):
@@ -374,9 +379,7 @@ def probability_table(spark, d):
 
 
 def _models(spark, d):
-    labelled_docs = clean.clean(_stage(spark, d))
-    intent = clean.clean(_stage(spark, d, "toxic"))
-    return scoring.train(labelled_docs, intent, iterations=10)
+    return scoring.train(_cleaned(spark, d), _cleaned(spark, d, "toxic"), iterations=10)
 
 
 def score_documents(spark, d):
@@ -520,7 +523,7 @@ QUICK = {"LogisticRegression": {"maxIter": 20}, "GaussianNB": {}, "DecisionTree"
 
 
 def _table(spark, d, label="quality"):
-    return staged(ft.feature_table(staged(clean.clean(_stage(spark, d, label)), "clean")), "features")
+    return staged(ft.feature_table(spread(_cleaned(spark, d, label), "doc_id")), "features")
 
 
 def screening(spark, d):

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from inkspect.functions import lexicons as lx
 from inkspect.functions import text as tx
 from inkspect.operators.profile import char_entropy
+from inkspect.session import staged
 
 HASH_DIMS = 384
 BLOCK_B = [
@@ -112,10 +113,12 @@ def row_blocks(df: DataFrame) -> DataFrame:
 def numeric_blocks(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Blocks B, C, D and F keyed by id; the text itself stays behind."""
     rows = row_blocks(df).drop("text")
-    entropy = char_entropy(df.where(tx.n_tokens(F.col("text")) > 0), id_col)
+    entropy = char_entropy(df, id_col)
+    # Only a text with words has a positive word length; blank texts stay at zero.
+    value = F.when(F.col("sty_avg_word_len") > 0, F.col("char_entropy")).otherwise(0.0)
     return (
-        rows.join(entropy.withColumnRenamed("char_entropy", "stat_char_entropy"), id_col, "left")
-        .withColumn("stat_char_entropy", F.coalesce("stat_char_entropy", F.lit(0.0)))
+        rows.join(entropy, id_col, "left")
+        .withColumn("stat_char_entropy", F.coalesce(value, F.lit(0.0)))
         .select(*[c for c in df.columns if c != "text"], *BLOCK_B, *BLOCK_C, *BLOCK_D, *BLOCK_F)
     )
 
@@ -175,7 +178,10 @@ def hashed_vectors(
 ) -> DataFrame:
     """(id, hashed): tf-idf over hash buckets, scaled to unit length; zeros if empty."""
     tf = term_frequencies(df, id_col, dims)
-    idf = idf if idf is not None else fit_idf(tf, dims)
+    if idf is None:
+        # Two passes need the frequencies; stored, they are hashed once.
+        tf = staged(tf, "term-frequencies")
+        idf = fit_idf(tf, dims)
     weights = F.array(*[F.lit(float(v)) for v in idf])
     weighted = tf.select(id_col, F.zip_with("tf", weights, lambda n, w: n * w).alias("_v"))
     norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, v: a + v * v))
