@@ -6,19 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkspect.llm import quality
+from inkspect.llm import decontaminate, packing, quality
 from inkspect.llm.common import read
 
 
+def op2_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate.report(read(spark, d, "documents"), read(spark, d, "benchmark"))
+
+
+def op5_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(read(spark, d, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
     return quality.classify(read(spark, d, "documents"), read(spark, d, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_decontamination": op2_decontamination,
+        "op5_packing": op5_packing,
         "op10_quality_classifier": op10_quality_classifier,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_decontamination": decontaminate.SQL,
+    }
