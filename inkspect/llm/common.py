@@ -80,6 +80,16 @@ def joined_small(left: DataFrame, right: DataFrame, on, how: str, n_rows: int, m
     return left.join(F.broadcast(right) if n_rows <= most else right, on, how)
 
 
+def shared_keys(postings: DataFrame) -> DataFrame:
+    """The postings (key, ...) whose key occurs more than once.
+
+    Only keys and counts are shuffled; ``postings`` is read twice and should be a
+    row-local projection of a stored table.
+    """
+    often = staged(postings.groupBy("key").count().filter("count > 1").select("key"), "shared-keys")
+    return joined_small(postings, often, "key", "left_semi", often.count())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected groups of (a, b) long pairs: rows (node, component), the smallest node of each group.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkspect.llm import decontaminate, packing, quality
+from inkspect.llm import decontaminate, linededup, packing, quality
 from inkspect.llm.common import read
 
 
@@ -18,6 +18,10 @@ def op5_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(read(spark, d, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return linededup.report(read(spark, d, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
     return quality.classify(read(spark, d, "documents"), read(spark, d, "labels"))
 
@@ -26,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontamination": op2_decontamination,
         "op5_packing": op5_packing,
+        "op7_line_dedup": op7_line_dedup,
         "op10_quality_classifier": op10_quality_classifier,
     }
 
