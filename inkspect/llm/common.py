@@ -146,8 +146,8 @@ def linked_groups(
     ``may_link`` drops pairs by the further columns (suffixed _a, _b) before they are made distinct.
     """
     postings = staged(postings, "postings")
-    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"))
-    lists = staged(lists.filter("n > 1 and lo != hi"), "lists")
+    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+    lists = staged(lists.filter("members > 1 and lo != hi"), "lists")
     extra = [c for c in postings.columns if c not in ("key", "node")]
     side = {s: postings.select("key", F.col("node").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in extra)) for s in "ab"}
 
@@ -157,7 +157,7 @@ def linked_groups(
 
     ends = []
     for end in ("lo", "hi"):
-        hub = lists.join(postings.withColumnRenamed("node", "hub"), "key").filter(F.col("hub") == F.col(end))
+        hub = lists.select("key", end).join(postings.withColumnRenamed("node", "hub"), "key").filter(F.col("hub") == F.col(end))
         hub = hub.select("key", "hub", *(F.col(c).alias(f"{c}_h") for c in extra)).dropDuplicates(["key"])
         ends.append(hub)
     star = None
@@ -174,7 +174,7 @@ def linked_groups(
     groups = components(links)
     # What is left: members of one list that lie in different groups, ends excepted.
     placed = (
-        postings.join(lists.filter("n > 2"), "key").filter("node != lo and node != hi")
+        postings.join(lists.filter("members > 2"), "key").filter("node != lo and node != hi")
         .join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     )
     mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))

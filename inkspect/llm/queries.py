@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkspect.llm import decontaminate, linededup, packing, quality
+from inkspect.llm import decontaminate, linededup, neardup, packing, quality
 from inkspect.llm.common import read
 
 
+def op1_minhash_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.report(read(spark, d, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.report(read(spark, d, "documents"), read(spark, d, "benchmark"))
 
@@ -28,6 +32,7 @@ def op10_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash_dedup": op1_minhash_dedup,
         "op2_decontamination": op2_decontamination,
         "op5_packing": op5_packing,
         "op7_line_dedup": op7_line_dedup,
@@ -37,5 +42,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_minhash_dedup": neardup.SQL,
         "op2_decontamination": decontaminate.SQL,
     }
