@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkspect.llm import decontaminate, linededup, neardup, packing, quality
+from inkspect.llm import decontaminate, linededup, neardup, packing, quality, secrets
 from inkspect.llm.common import read
 
 
@@ -18,6 +18,10 @@ def op2_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.report(read(spark, d, "documents"), read(spark, d, "benchmark"))
 
 
+def op3_secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.report(read(spark, d, "documents"))
+
+
 def op5_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(read(spark, d, "documents"))
 
@@ -34,6 +38,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
         "op2_decontamination": op2_decontamination,
+        "op3_secret_scan": op3_secret_scan,
         "op5_packing": op5_packing,
         "op7_line_dedup": op7_line_dedup,
         "op10_quality_classifier": op10_quality_classifier,
@@ -44,4 +49,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_minhash_dedup": neardup.SQL,
         "op2_decontamination": decontaminate.SQL,
+        "op3_secret_scan": secrets.sql(),
     }
