@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkspect.llm import decontaminate, linededup, neardup, packing, quality, secrets
+from inkspect.llm import decontaminate, linededup, maintext, neardup, packing, quality, secrets
 from inkspect.llm.common import read
 
 
@@ -22,6 +22,10 @@ def op3_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     return secrets.report(read(spark, d, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, d: str) -> DataFrame:
+    return maintext.extract(read(spark, d, "pages"))
+
+
 def op5_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(read(spark, d, "documents"))
 
@@ -39,6 +43,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_minhash_dedup": op1_minhash_dedup,
         "op2_decontamination": op2_decontamination,
         "op3_secret_scan": op3_secret_scan,
+        "op4_html_extraction": op4_html_extraction,
         "op5_packing": op5_packing,
         "op7_line_dedup": op7_line_dedup,
         "op10_quality_classifier": op10_quality_classifier,
