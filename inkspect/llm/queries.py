@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkspect.llm import decontaminate, linededup, maintext, neardup, packing, quality, secrets
+from inkspect.llm import decontaminate, linededup, lm, maintext, neardup, packing, quality, secrets, tokencount
 from inkspect.llm.common import read
 
 
@@ -30,10 +30,18 @@ def op5_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(read(spark, d, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, d: str) -> DataFrame:
+    return lm.score(read(spark, d, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     return linededup.report(read(spark, d, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    return tokencount.count(read(spark, d, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
     return quality.classify(read(spark, d, "documents"), read(spark, d, "labels"))
 
@@ -45,7 +53,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secret_scan": op3_secret_scan,
         "op4_html_extraction": op4_html_extraction,
         "op5_packing": op5_packing,
+        "op6_lm_scoring": op6_lm_scoring,
         "op7_line_dedup": op7_line_dedup,
+        "op8_token_counts": op8_token_counts,
         "op10_quality_classifier": op10_quality_classifier,
     }
 
