@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkspect.llm import decontaminate, linededup, lm, maintext, neardup, packing, quality, secrets, tokencount
+from inkspect.llm import decontaminate, linededup, lm, maintext, neardup, packing, quality, secrets, tokencount, vectors
 from inkspect.llm.common import read
 
 
@@ -42,6 +42,10 @@ def op8_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return tokencount.count(read(spark, d, "documents"))
 
 
+def op9_embedding_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.report(read(spark, d, "embeddings"))
+
+
 def op10_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
     return quality.classify(read(spark, d, "documents"), read(spark, d, "labels"))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_lm_scoring": op6_lm_scoring,
         "op7_line_dedup": op7_line_dedup,
         "op8_token_counts": op8_token_counts,
+        "op9_embedding_dedup": op9_embedding_dedup,
         "op10_quality_classifier": op10_quality_classifier,
     }
 
@@ -65,4 +70,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_minhash_dedup": neardup.SQL,
         "op2_decontamination": decontaminate.SQL,
         "op3_secret_scan": secrets.sql(),
+        "op9_embedding_dedup": vectors.SQL,
     }
