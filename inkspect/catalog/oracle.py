@@ -287,8 +287,14 @@ def bigram_rows(src: str, keys: str, name: str) -> str:
 
 BIGRAM_MODEL = f"""{bigram_rows('documents', 'doc_id', 'bg')},
 c12 AS (SELECT w1, w2, count(*) AS c12 FROM bg GROUP BY ALL),
-c1 AS (SELECT w1, sum(c12)::BIGINT AS c1 FROM c12 GROUP BY ALL),
-voc AS (SELECT count(DISTINCT w2) AS v FROM c12)"""
+ctx AS (SELECT w1, sum(c12)::BIGINT AS c1, count(*) AS t1 FROM c12 GROUP BY ALL),
+uni AS (SELECT w2, sum(c12)::BIGINT AS n2 FROM c12 GROUP BY ALL),
+voc AS (SELECT sum(n2)::DOUBLE + count(*) + 1 AS d FROM uni)"""
+
+# Witten-Bell weights between pair counts and word frequencies.
+UNIGRAM = "((coalesce(n2, 0) + 1) / d)"
+BIGRAM_NLL = f"-sum(ln(CASE WHEN c1 IS NULL THEN {UNIGRAM} ELSE (coalesce(c12, 0) + t1 * {UNIGRAM}) / (c1 + t1) END)) / count(*)"
+BIGRAM_JOINS = "LEFT JOIN c12 USING (w1, w2) LEFT JOIN ctx USING (w1) LEFT JOIN uni USING (w2), voc"
 
 
 def oracle() -> dict[str, str]:
@@ -325,6 +331,13 @@ SELECT (SELECT count(*) FROM a) AS unique_a, (SELECT count(*) FROM b) AS unique_
   (SELECT count(*) FROM a JOIN b USING (h)) AS overlap""",
         "contaminated_rows": """SELECT doc_id FROM documents
 WHERE text IN (SELECT text FROM conversations UNION ALL SELECT text FROM benchmark)""",
+        "contaminated_sources": """SELECT doc_id FROM documents WHERE source = 'src0'
+  AND text IN (SELECT text FROM documents WHERE source <> 'src0')""",
+        "clean_langs": f"""WITH fixed AS (SELECT doc_id, lang AS label, {repair('text')} AS text FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS rn FROM fixed),
+kept AS (SELECT doc_id, text, label FROM firsts WHERE rn = 1 AND len({words('text')}) >= 10),
+m AS (SELECT label, (dense_rank() OVER (ORDER BY label) - 1)::INTEGER AS id FROM (SELECT DISTINCT label FROM kept))
+SELECT doc_id, id AS label, md5(text) AS text_md5 FROM kept JOIN m USING (label)""",
         "label_encode": """WITH m AS (SELECT label, (dense_rank() OVER (ORDER BY label) - 1)::INTEGER AS id
   FROM (SELECT DISTINCT lang AS label FROM documents))
 SELECT doc_id, id AS label FROM documents JOIN m ON m.label = documents.lang""",
@@ -387,11 +400,9 @@ SELECT * FROM rk WHERE rank <= 30""",
         "block_a_hashed": f"""WITH {HASHED} SELECT doc_id, bucket, round(v / norm, 6) AS weight
 FROM wt JOIN nm USING (doc_id) WHERE v / norm > 0""",
         "bigram_ppl": f"""WITH {BIGRAM_MODEL},
-p AS (SELECT doc_id, least(exp(-sum(ln((c12 + 1.0)::DOUBLE / (c1 + v))) / count(*)), 10000.0) AS ppl
-  FROM bg JOIN c12 USING (w1, w2) JOIN c1 USING (w1), voc GROUP BY doc_id)
+p AS (SELECT doc_id, exp({BIGRAM_NLL}) AS ppl FROM bg {BIGRAM_JOINS} GROUP BY doc_id)
 SELECT doc_id, round(coalesce(ppl, 500.0), 4) AS ppl FROM documents LEFT JOIN p USING (doc_id)""",
         "bigram_ppl_prompts": f"""WITH {BIGRAM_MODEL},{bigram_rows('conversations', 'conv_id, turn', 'q')}
-SELECT conv_id, turn, round(least(exp(-sum(ln((coalesce(c12, 0) + 1.0)::DOUBLE / (coalesce(c1, 0) + v))) / count(*)), 10000.0), 4) AS ppl
-FROM q LEFT JOIN c12 USING (w1, w2) LEFT JOIN c1 USING (w1), voc GROUP BY conv_id, turn""",
+SELECT conv_id, turn, round(exp({BIGRAM_NLL}), 4) AS ppl FROM q {BIGRAM_JOINS} GROUP BY conv_id, turn""",
     }
     return queries

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkspect.catalog.oracle import BIGRAM_MODEL, base, bigram_rows, lit, member, over, sql_list, words
+from inkspect.catalog.oracle import BIGRAM_JOINS, BIGRAM_MODEL, BIGRAM_NLL, base, bigram_rows, lit, member, over, sql_list, words
 from inkspect.functions import lexicons as lx
 
 SEEDS = (42, 123, 456, 789, 2024)
@@ -202,8 +202,7 @@ a AS (SELECT doc_id, round(avg(p), 6) AS mean, round(count(*) FILTER (p > 0.5)::
   round(stddev_pop(p), 6) AS std, count(*) AS n_sents FROM p GROUP BY doc_id HAVING count(*) >= 2)
 SELECT doc_id, mean, ai_frac, std, n_sents FROM documents LEFT JOIN a USING (doc_id)""",
         "sentence_ppl": f"""WITH {BIGRAM_MODEL},{sentence_rows(3)},{bigram_rows('se', 'doc_id, i', 'q')},
-pp AS (SELECT doc_id, i, least(exp(-sum(ln((coalesce(c12, 0) + 1.0)::DOUBLE / (coalesce(c1, 0) + v))) / count(*)), 10000.0) AS ppl
-  FROM q LEFT JOIN c12 USING (w1, w2) LEFT JOIN c1 USING (w1), voc GROUP BY doc_id, i),
+pp AS (SELECT doc_id, i, exp({BIGRAM_NLL}) AS ppl FROM q {BIGRAM_JOINS} GROUP BY doc_id, i),
 a AS (SELECT doc_id, round(avg(ppl), 4) AS mean_ppl, round(stddev_pop(ppl), 4) AS std_ppl,
   round(stddev_pop(ppl) / greatest(avg(ppl), 1.0), 4) AS cv FROM pp GROUP BY doc_id HAVING count(*) >= 2)
 SELECT doc_id, mean_ppl, std_ppl, cv FROM documents LEFT JOIN a USING (doc_id)""",

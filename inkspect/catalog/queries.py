@@ -79,6 +79,19 @@ def contaminated_rows(spark, d):
     return clean.contaminated_rows(_docs(spark, d), turns.unionByName(items)).select("doc_id")
 
 
+def contaminated_sources(spark, d):
+    """Documents of the largest source whose exact text another source holds as well."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    inner, outer = docs.where("source = 'src0'"), docs.where("source <> 'src0'")
+    return clean.contaminated_rows(inner, outer).select("doc_id")
+
+
+def clean_langs(spark, d):
+    """The whole cleaning chain with language names as labels."""
+    docs = table(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("label"))
+    return clean.clean(spread(docs, "doc_id")).select("doc_id", "label", F.md5("text").alias("text_md5"))
+
+
 def label_encode(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("label"))
     return clean.encode_labels(docs).select("doc_id", "label")
@@ -273,11 +286,11 @@ def block_a_hashed(spark, d):
 def bigram_ppl(spark, d):
     docs = _docs(spark, d)
     model = bigram.fit(docs)
-    return bigram.block_e(docs, model, seen=True).select("doc_id", F.round("ppl", 4).alias("ppl"))
+    return bigram.block_e(docs, model).select("doc_id", F.round("ppl", 4).alias("ppl"))
 
 
 def bigram_ppl_prompts(spark, d):
-    """Prompts scored by the documents' model: unseen bigrams fall back to their context."""
+    """Prompts scored by the documents' model: unseen bigrams fall back to word frequencies."""
     model = bigram.fit(_docs(spark, d))
     turns = spread(table(spark, d, "conversations").select("conv_id", "turn", "text"), "conv_id")
     scored = bigram.perplexity(turns, model, "conv_id", "turn")

@@ -10,7 +10,7 @@ from inkspect.catalog import queries as q
 
 NAMES = [
     "class_overview", "clean_docs", "exact_dedup", "min_words", "cleaning_funnel", "class_balance",
-    "word_count_stats", "contamination", "contaminated_rows", "label_encode", "normalize_text",
+    "word_count_stats", "contamination", "contaminated_rows", "contaminated_sources", "clean_langs", "label_encode", "normalize_text",
     "html_clean", "input_guard", "before_after_hist",
     "prof_length", "prof_lexical", "prof_chars", "prof_sentence", "prof_entropy", "prof_intent",
     "prof_readability", "prof_prompts", "word_counts", "text_stats",

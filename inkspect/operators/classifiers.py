@@ -40,11 +40,11 @@ ESTIMATORS: dict[str, Callable] = {
     ),
     "GaussianNB": lambda n, d: NaiveBayes(featuresCol="scaled", modelType="gaussian"),
     "DecisionTree": lambda n, d: DecisionTreeClassifier(**TREE, maxDepth=30),
-    "RandomForest": lambda n, d: RandomForestClassifier(**TREE, numTrees=100, maxDepth=15),
+    "RandomForest": lambda n, d: RandomForestClassifier(**TREE, numTrees=100, maxDepth=30),
     # Spark ML draws no random thresholds; without bootstrap only the feature
     # subsets differ between trees.
     "ExtraTrees": lambda n, d: RandomForestClassifier(
-        **TREE, numTrees=100, maxDepth=15, bootstrap=False, featureSubsetStrategy="sqrt"
+        **TREE, numTrees=100, maxDepth=30, bootstrap=False, featureSubsetStrategy="sqrt"
     ),
     "GradientBoosting": lambda n, d: GBTClassifier(**TREE, maxIter=100, maxDepth=3, stepSize=0.1),
     "HistBoosting": lambda n, d: GBTClassifier(**TREE, maxIter=100, maxDepth=6, stepSize=0.3, maxBins=256),

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from inkspect.functions import text as tx
 from inkspect.functions import unicode as uc
+from inkspect.session import staged
 
 # Code points that carry no visible content.
 INVISIBLE = r"[\u200b\u200c\u200d\ufeff\u00ad\u2060\u180e]"
@@ -26,6 +27,8 @@ ASCII_MARKS = {
     "\u2026": "...",
 }
 MIN_WORDS = 10
+# So many label names are broadcast to the texts; beyond it both sides are shuffled.
+BROADCAST_LABELS = 10_000
 GUARD_WORDS = 5
 
 
@@ -65,26 +68,17 @@ def prepare(df: DataFrame, text_col: str, label_col: str, id_col: str = "doc_id"
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per distinct text, the one with the smallest id.
 
-    Only (md5, smallest id, count) is aggregated, combined map-side, so a text
-    with very many copies never meets in one task. Only texts that do repeat
-    are joined back; Spark broadcasts that side if its measured size allows.
+    Only (md5, id) pairs are grouped and joined, and only for texts that repeat; the
+    rows themselves meet the ids to drop on the unique id. So a text with very many
+    copies makes no hot key for texts. ``df`` is read three times: store it first
+    if it is costly.
     """
-    # Never null, so the join adds no "is not null" filter that would repeat the
+    # Never null, so the joins add no "is not null" filter that would repeat the
     # cleaning below the shuffle of the input.
-    digest = F.coalesce(F.md5(F.col(text_col)), F.lit(""))
-    repeated = (
-        df.select(digest.alias("_md5"), F.col(id_col).alias("_id"))
-        .groupBy("_md5")
-        .agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-        .where("_n > 1")
-        .select("_md5", "_first")
-    )
-    return (
-        df.withColumn("_md5", digest)
-        .join(repeated, "_md5", "left")
-        .where(F.col("_first").isNull() | (F.col(id_col) == F.col("_first")))
-        .drop("_md5", "_first")
-    )
+    digests = df.select(F.coalesce(F.md5(F.col(text_col)), F.lit("")).alias("_md5"), F.col(id_col).alias("_id"))
+    repeated = digests.groupBy("_md5").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    later = digests.join(repeated, "_md5").where("_id > _first").select(F.col("_id").alias(id_col))
+    return df.join(later, id_col, "left_anti")
 
 
 def long_enough(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -104,7 +98,10 @@ def encode_labels(df: DataFrame) -> DataFrame:
     """Numeric labels become integers, strings their rank in sorted order."""
     if df.schema["label"].dataType.typeName() != "string":
         return df.withColumn("label", F.col("label").cast("int"))
-    return df.join(label_map(df), "label").drop("label").withColumnRenamed("label_id", "label")
+    names = staged(label_map(df), "labels")
+    few = names.count() <= BROADCAST_LABELS
+    named = df.join(F.broadcast(names) if few else names, "label")
+    return named.drop("label").withColumnRenamed("label_id", "label")
 
 
 def label_map(df: DataFrame) -> DataFrame:
@@ -124,10 +121,9 @@ def clean(
     min_words: int = MIN_WORDS,
     id_col: str = "doc_id",
 ) -> DataFrame:
-    """The whole chain: repair, dedup, length filter, labels."""
-    return encode_labels(
-        long_enough(keep_first(prepare(df, text_col, label_col, id_col)), min_words)
-    ).select("doc_id", "text", "label")
+    """The whole chain: repair, dedup, length filter, labels. Repaired texts are stored, so repaired once."""
+    repaired = staged(prepare(df, text_col, label_col, id_col), "repaired")
+    return encode_labels(long_enough(keep_first(repaired), min_words)).select("doc_id", "text", "label")
 
 
 def funnel(
@@ -195,17 +191,22 @@ def class_balance(df: DataFrame) -> DataFrame:
     )
 
 
+def sample_deviation(n: Column, s: Column, s2: Column) -> Column:
+    """From exact integer moments. n * s2 passes 64 bits at some ten million texts, hence decimals."""
+    n, s, s2 = (c.cast("decimal(19,0)") for c in (n, s, s2))
+    n1 = n.cast("double")
+    return F.sqrt((n * s2 - s * s).cast("double") / F.nullif(n1 * (n1 - 1), F.lit(0.0)))
+
+
 def word_count_stats(df: DataFrame) -> DataFrame:
     """Mean, median, sample deviation, extremes of words per text."""
     words = df.select(tx.n_tokens(F.col("text")).alias("w"))
-    n, s, s2 = F.count("w"), F.sum("w"), F.sum(F.col("w").cast("long") * F.col("w"))
+    s2 = F.sum(F.col("w").cast("long") * F.col("w"))
     return words.agg(
-        n.alias("n_texts"),
-        (s / n).alias("mean_words"),
+        F.count("w").alias("n_texts"),
+        (F.sum("w") / F.count("w")).alias("mean_words"),
         F.percentile("w", F.lit(0.5)).alias("median_words"),
-        F.sqrt(
-            (n * s2 - s * s).cast("double") / F.nullif(n * (n - 1), F.lit(0)).cast("double")
-        ).alias("std_words"),
+        sample_deviation(F.count("w"), F.sum("w"), s2).alias("std_words"),
         F.min("w").alias("min_words"),
         F.max("w").alias("max_words"),
     )
@@ -228,10 +229,14 @@ def contamination(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
-def contaminated_rows(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows of ``a`` whose text also occurs in ``b``."""
+def contaminated_rows(a: DataFrame, b: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``a`` whose text also occurs in ``b``, met on digests and then on the unique id.
+
+    Texts are not keyed by digest, so copies of one text make no hot key for them.
+    """
     digests = b.select(F.md5("text").alias("_h")).distinct()
-    return a.withColumn("_h", F.md5("text")).join(digests, "_h", "left_semi").drop("_h")
+    found = a.select(id_col, F.md5("text").alias("_h")).join(digests, "_h", "left_semi").select(id_col)
+    return a.join(found, id_col, "left_semi")
 
 
 def before_after(raw: DataFrame, cleaned: DataFrame, top: int = 1000, bins: int = 60) -> DataFrame:

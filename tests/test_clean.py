@@ -101,3 +101,29 @@ def test_split_table_reads_one_side(spark, tmp_path):
     df = spark.range(10).withColumn("split", F.when(F.col("id") < 3, "holdout").otherwise("train"))
     tables.write_split(df, str(tmp_path / "s"))
     assert tables.read_split(spark, str(tmp_path / "s"), "holdout").count() == 3
+
+
+def test_word_moments_beyond_64_bits(spark):
+    """n * sum of squares of thirty million texts of 2,000 words passes 2^63."""
+    from pyspark.sql import functions as F
+
+    from inkspect.operators import clean
+
+    one = F.array_join(F.array_repeat(F.lit("w"), 2000), " ")
+    two = F.array_join(F.array_repeat(F.lit("w"), 2002), " ")
+    # Few long rows of equal counts would not overflow: check the expression on its sums.
+    df = spark.range(2).select(F.when(F.col("id") == 0, one).otherwise(two).alias("text"))
+    row = clean.word_count_stats(df).first()
+    assert (row["mean_words"], round(row["std_words"], 6)) == (2001.0, 1.414214)
+    big = 30_000_000
+    sums = spark.createDataFrame([(big, 2001 * big, (2000**2 + 2002**2) // 2 * big)], "n long, s long, s2 long")
+    assert big * (2000**2 + 2002**2) // 2 * big > 2**63
+    std = sums.select(clean.sample_deviation(F.col("n"), F.col("s"), F.col("s2")).alias("v")).first()["v"]
+    assert abs(std - (big / (big - 1)) ** 0.5) < 1e-9
+
+
+def test_copies_keep_the_smallest_id(spark):
+    from inkspect.operators import clean
+
+    df = spark.createDataFrame([(3, "a"), (1, "a"), (2, None), (5, None), (4, "b")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in clean.keep_first(df).collect()) == [1, 2, 4]

@@ -67,31 +67,33 @@ def test_hashed_vectors_have_unit_length(texts):
         assert sum(x * x for x in r["hashed"]) == pytest.approx(length)
 
 
-def test_bigram_perplexity_against_counting(texts):
+def test_bigram_perplexity_against_counting(texts, monkeypatch):
     df = texts("a b a b", "a c", "")
     model = bigram.fit(df)
     counts = {("<s>", "a"): 2, ("a", "b"): 2, ("b", "a"): 1, ("a", "c"): 1}
     context = {"<s>": 2, "a": 3, "b": 1}
     assert (model.tokens, model.vocabulary) == (6, 3)
+    followers = {"<s>": 1, "a": 2, "b": 1}
+    words = {"a": 3, "b": 2, "c": 1}
 
     def expected(*pairs):
-        logs = [math.log((counts.get(p, 0) + 1) / (context.get(p[0], 0) + 3)) for p in pairs]
+        logs = []
+        for w1, w2 in pairs:
+            q = (words.get(w2, 0) + 1) / 10
+            c, t = context.get(w1, 0), followers.get(w1, 0)
+            logs.append(math.log((counts.get((w1, w2), 0) + t * q) / (c + t) if c else q))
         return math.exp(-sum(logs) / len(logs))
 
-    for seen in (True, False):
-        got = rows(bigram.block_e(df, model, seen=seen))
-        assert got[0]["ppl"] == pytest.approx(expected(("<s>", "a"), ("a", "b"), ("b", "a"), ("a", "b")))
-        assert got[1]["ppl"] == pytest.approx(expected(("<s>", "a"), ("a", "c")))
-        assert got[2]["ppl"] == 500.0
-    unseen = rows(bigram.perplexity(texts("b z z"), model, "doc_id"))
-    assert unseen[0]["ppl"] == pytest.approx(expected(("<s>", "b"), ("b", "z"), ("z", "z")))
-
-
-def test_bigram_lookup_splits_hot_keys(texts, monkeypatch):
-    df = texts(*["the cat sat on the mat"] * 5, "the dog ran", "a bird")
-    want = [r["ppl"] for r in rows(bigram.block_e(df, bigram.fit(df)))]
-    monkeypatch.setattr(bigram, "HOT_SHARE", 8)  # now some keys are cold and some hot
-    assert [r["ppl"] for r in rows(bigram.block_e(df, bigram.fit(df)))] == pytest.approx(want)
+    got = rows(bigram.block_e(df, model))
+    assert got[0]["ppl"] == pytest.approx(expected(("<s>", "a"), ("a", "b"), ("b", "a"), ("a", "b")))
+    assert got[1]["ppl"] == pytest.approx(expected(("<s>", "a"), ("a", "c")))
+    assert got[2]["ppl"] == 500.0
+    unseen = texts("b z z")
+    want = expected(("<s>", "b"), ("b", "z"), ("z", "z"))
+    assert rows(bigram.perplexity(unseen, model, "doc_id"))[0]["ppl"] == pytest.approx(want)
+    assert rows(bigram.perplexity(unseen, model, "doc_id", cap=2.0))[0]["ppl"] == 2.0
+    monkeypatch.setattr(bigram, "BROADCAST_WORDS", 0)  # the word table is shuffled
+    assert rows(bigram.perplexity(unseen, model, "doc_id"))[0]["ppl"] == pytest.approx(want)
 
 
 def test_style_signals(texts):
