@@ -272,7 +272,7 @@ HASHED = f"""
 t AS (SELECT doc_id, (('0x' || substr(md5(word), 1, 8))::UBIGINT % 384)::INTEGER AS bucket, count(*) AS tf
   FROM (SELECT doc_id, unnest({words('lower(text)')}) AS word FROM documents) GROUP BY ALL),
 df AS (SELECT bucket, count(*) AS df FROM t GROUP BY bucket),
-wt AS (SELECT doc_id, bucket, tf * ln(((SELECT count(*) FROM documents) + 1)::DOUBLE / (df + 1)) AS v
+wt AS (SELECT doc_id, bucket, tf * (ln(((SELECT count(*) FROM documents) + 1)::DOUBLE / (df + 1)) + 1) AS v
   FROM t JOIN df USING (bucket)),
 nm AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM wt GROUP BY doc_id)"""
 

@@ -397,7 +397,7 @@ def _models(spark, d):
 
 def score_documents(spark, d):
     scored = scoring.score(_docs(spark, d), _models(spark, d))
-    return scored.select("doc_id", "x", "o", "f", "mode", "p_ai", "verdict", "agreement", "intent", "stage2_applicable")
+    return scored.select("doc_id", "reason", "x", "o", "f", "mode", "p_ai", "verdict", "agreement", "intent", "stage2_applicable")
 
 
 def stream_scores(spark, d):
@@ -406,7 +406,7 @@ def stream_scores(spark, d):
     source = arriving(spark, d, pattern="documents.parquet")
     query = score_stream(source, models, f"{base}/scores", f"{base}/checkpoint", once=True)
     query.awaitTermination()
-    return scored_rows(spark, f"{base}/scores").select("doc_id", "batch_id", "mode", "p_ai", "verdict", "intent")
+    return scored_rows(spark, f"{base}/scores").select("doc_id", "batch_id", "reason", "mode", "p_ai", "verdict", "intent")
 
 
 # -- selection --------------------------------------------------------------

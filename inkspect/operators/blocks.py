@@ -2,7 +2,7 @@
 
 A hashed vector (384), B stylometric (10), C statistical (7), D surface
 linguistic (2), E perplexity (1), F structural (8). Blocks A, B, C, D and F are
-row-local apart from the character entropy and the document frequencies.
+row-local apart from the document frequencies.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from inkspect.functions import lexicons as lx
 from inkspect.functions import text as tx
-from inkspect.operators.profile import char_entropy
+from inkspect.operators.profile import add_char_entropy
 from inkspect.session import staged
 
 HASH_DIMS = 384
@@ -112,14 +112,11 @@ def row_blocks(df: DataFrame) -> DataFrame:
 
 def numeric_blocks(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Blocks B, C, D and F keyed by id; the text itself stays behind."""
-    rows = row_blocks(df).drop("text")
-    entropy = char_entropy(df, id_col)
+    rows = row_blocks(add_char_entropy(df, "_entropy")).drop("text")
     # Only a text with words has a positive word length; blank texts stay at zero.
-    value = F.when(F.col("sty_avg_word_len") > 0, F.col("char_entropy")).otherwise(0.0)
-    return (
-        rows.join(entropy, id_col, "left")
-        .withColumn("stat_char_entropy", F.coalesce(value, F.lit(0.0)))
-        .select(*[c for c in df.columns if c != "text"], *BLOCK_B, *BLOCK_C, *BLOCK_D, *BLOCK_F)
+    value = F.when(F.col("sty_avg_word_len") > 0, F.col("_entropy")).otherwise(0.0)
+    return rows.withColumn("stat_char_entropy", value).select(
+        *[c for c in df.columns if c != "text"], *BLOCK_B, *BLOCK_C, *BLOCK_D, *BLOCK_F
     )
 
 
@@ -164,13 +161,13 @@ def document_frequencies(tf: DataFrame) -> DataFrame:
 
 
 def fit_idf(tf: DataFrame, dims: int = HASH_DIMS) -> list[float]:
-    """Smoothed inverse document frequencies ln((N + 1) / (df + 1)), one per bucket.
+    """Smoothed inverse document frequencies ln((N + 1) / (df + 1)) + 1, one per bucket.
 
     The fitted state is ``dims`` numbers, the same that an IDF model would hold.
     """
     n = tf.count()
     found = {r["bucket"]: r["df"] for r in document_frequencies(tf).collect()}
-    return [math.log((n + 1) / (found.get(i, 0) + 1)) for i in range(dims)]
+    return [math.log((n + 1) / (found.get(i, 0) + 1)) + 1 for i in range(dims)]
 
 
 def hashed_vectors(

@@ -31,6 +31,8 @@ from inkspect.session import staged
 
 log = logging.getLogger(__name__)
 FALLBACK = "HistBoosting"
+# Boosting rounds between two writes of the row weights.
+STORED_ROUNDS = 10
 TREE = {"featuresCol": "scaled", "seed": 42}
 
 # name -> (rows, dims) -> estimator on the column "scaled"
@@ -129,11 +131,13 @@ def svm(train: DataFrame, maxIter: int = 100) -> Callable[[DataFrame], DataFrame
 def boosted_stumps(train: DataFrame, rounds: int = 100) -> Callable[[DataFrame], DataFrame]:
     """AdaBoost over depth-1 trees.
 
-    A stump is (feature, threshold, left class, right class), so after any number
-    of rounds the row weights are one expression over the stored training rows
+    A stump is (feature, threshold, left class, right class). Row weights are a column;
+    every ``STORED_ROUNDS`` rounds they are written, so a round evaluates a few stumps only
     and the plan does not grow with the loop.
     """
-    stored = staged(train.select("label", "features"), "boost-train").withColumn("_x", vector_to_array("features"))
+    stored = staged(train.select("label", "features", F.lit(0.0).alias("_logw")), "boost-train")
+    stored = stored.withColumn("_x", vector_to_array("features"))
+    pending: list[tuple[float, int, float, float, float]] = []
     stumps: list[tuple[float, int, float, float, float]] = []
 
     def vote(stump) -> Column:
@@ -141,11 +145,14 @@ def boosted_stumps(train: DataFrame, rounds: int = 100) -> Callable[[DataFrame],
         return F.when(F.get("_x", F.lit(feature)) <= threshold, left).otherwise(right)
 
     def weight() -> Column:
-        misses = [F.when(vote(s) != F.col("label"), s[0]).otherwise(0.0) for s in stumps]
-        return F.exp(sum(misses, F.lit(0.0)))
+        misses = [F.when(vote(s) != F.col("label"), s[0]).otherwise(0.0) for s in pending]
+        return sum(misses, F.col("_logw"))
 
     for _ in range(rounds):
-        weighted = stored.withColumn("_w", weight())
+        if len(pending) == STORED_ROUNDS:
+            stored = staged(stored.withColumn("_logw", weight()), "boost-weights")
+            pending = []
+        weighted = stored.withColumn("_w", F.exp(weight()))
         total = weighted.agg(F.sum("_w")).first()[0]
         weighted = weighted.withColumn("_w", F.col("_w") / total)
         tree = DecisionTreeClassifier(maxDepth=1, weightCol="_w", seed=42).fit(weighted)
@@ -162,6 +169,7 @@ def boosted_stumps(train: DataFrame, rounds: int = 100) -> Callable[[DataFrame],
             break
         alpha = math.log((1 - error) / error) if error > 0 else 30.0
         stumps.append((alpha, *stump[1:]))
+        pending.append(stumps[-1])
         if error <= 0:
             break
 
@@ -210,6 +218,9 @@ def gaussian_nb(df: DataFrame, id_col: str, vector: str, label: str = "label") -
         )
         .collect()
     )
+    if not moments:
+        nothing = df.select(id_col, F.col(label).alias("label"), F.col(label).alias("prediction"), F.lit(0.0).alias("margin"))
+        return nothing.limit(0)
     dims = max(r["dim"] for r in moments) + 1
     total = sum(r["n"] for r in moments if r["dim"] == 0)
     pooled = []

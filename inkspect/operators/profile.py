@@ -1,6 +1,6 @@
 """Corpus profile: 25 named measurements per text (``prof_*`` namespace).
 
-All but the character entropy are computed inside the row. Counts stay integers
+All are computed inside the row. Counts stay integers
 until one final division, so results do not depend on evaluation order.
 """
 
@@ -41,24 +41,14 @@ def _over(count: Column, whole: Column) -> Column:
     return count.cast("double") / whole
 
 
-def char_counts(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, char, n), combined before the shuffle to one row per distinct character."""
-    return (
-        df.select(id_col, F.explode_outer(F.split("text", "")).alias("char"))
-        .where("char <> ''")
-        .groupBy(id_col, "char")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-
-
-def char_entropy(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Bits per character: log2(N) - sum(n log2 n) / N."""
-    n = F.sum("n")
-    return (
-        char_counts(df, id_col)
-        .groupBy(id_col)
-        .agg((F.log2(n.cast("double")) - F.sum(F.col("n") * F.log2("n")) / n).alias("char_entropy"))
-    )
+def add_char_entropy(df: DataFrame, name: str = "char_entropy", text: str = "text") -> DataFrame:
+    """Bits per character, log2(N) - sum(n log2 n) / N, from the runs of a text's sorted characters."""
+    chars = F.array_remove(F.split(F.coalesce(text, F.lit("")), ""), "")
+    rows = df.withColumn("_chars", F.sort_array(chars))
+    rows = rows.withColumn("_runs", tx.run_starts(F.col("_chars")))
+    n = F.size("_chars")
+    bits = F.log2(n.cast("double")) - tx.plogp(tx.gaps(F.col("_runs"), n)) / n
+    return rows.withColumn(name, F.when(n > 0, bits).otherwise(0.0)).drop("_chars", "_runs")
 
 
 def word_counts(df: DataFrame, id_col: str = "doc_id", lower: bool = True) -> DataFrame:
@@ -146,17 +136,9 @@ def row_profile(df: DataFrame) -> DataFrame:
 
 
 def profile(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """All 25 features next to the columns of ``df``.
-
-    The character entropy arrives by an equi-join on the unique id; only ids and
-    numbers cross it.
-    """
-    wide = row_profile(df).drop("text")
-    return (
-        wide.join(char_entropy(df, id_col), id_col, "left")
-        .withColumn("char_entropy", F.coalesce("char_entropy", F.lit(0.0)))
-        .select(*[c for c in df.columns if c != "text"], *PROFILE_FEATURES)
-    )
+    """All 25 features next to the columns of ``df``, each computed inside its row."""
+    wide = row_profile(add_char_entropy(df)).drop("text")
+    return wide.select(*[c for c in df.columns if c != "text"], *PROFILE_FEATURES)
 
 
 def text_stats(df: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -68,11 +68,12 @@ def test_stream_equals_batch_and_saved_models_agree(spark, sf, trained, tmp_path
     scoring.save(trained, str(tmp_path / "models"), spark)
     models = scoring.load(str(tmp_path / "models"), spark)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    batch = {r.doc_id: (r["mode"], round(r.p_ai, 9), r.intent) for r in scoring.score(docs, models).collect()}
+    view = lambda r: (r["reason"], r["mode"], r.p_ai and round(r.p_ai, 9), r.intent)
+    batch = {r.doc_id: view(r) for r in scoring.score(docs, models).collect()}
     stream = scorer.arriving(spark, sf, pattern="documents.parquet")
     query = scorer.score_stream(stream, models, str(tmp_path / "out"), str(tmp_path / "cp"), once=True)
     query.awaitTermination()
-    again = {r.doc_id: (r["mode"], round(r.p_ai, 9), r.intent) for r in scorer.scored(spark, str(tmp_path / "out")).collect()}
+    again = {r.doc_id: view(r) for r in scorer.scored(spark, str(tmp_path / "out")).collect()}
     assert again == batch
-    rejected = scoring.rejects(docs).count()
-    assert len(batch) + rejected == docs.count()
+    assert len(batch) == docs.count()
+    assert all((reason is None) == (p_ai is not None) for reason, _, p_ai, _ in batch.values())
