@@ -135,54 +135,73 @@ def linked_groups(
     postings: DataFrame,
     confirm: Callable[[DataFrame], DataFrame],
     may_link: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
-) -> tuple[DataFrame, DataFrame]:
-    """Links and groups of nodes that share a key and are confirmed to link.
-
-    postings: (key, node, further columns that ``may_link`` reads). Returns the confirmed links (a, b) and
-    (node, component). Pairs of a list are not all emitted: first each list's
-    smallest and largest node are held against the others, then only members that
-    still lie in different groups are paired, so a large list of copies costs
-    rows in proportion to its length, and no link that joins two groups is lost.
-    ``may_link`` drops pairs by the further columns (suffixed _a, _b) before they are made distinct.
+    late: DataFrame | None = None,
+    may_link_late: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
+    band: str | None = None,
+) -> DataFrame:
+    """(node, component) of nodes that share a key and are confirmed to link, through other nodes or directly.
+
+    postings: (key, node, rank, further columns); ``may_link`` drops (a, b) pairs by the further
+    columns, suffixed _a and _b. Pairs of a list are not all made: each list's node of lowest
+    rank is its hub, and lists with one hub become one cluster, so nodes that share many keys
+    meet once. The hub is held against the cluster, then the lowest of those outside its
+    group, and only members that still lie in different groups are paired with each
+    other, where ``may_link_late`` may also use the columns of ``late`` (node, ...), and ``band`` names
+    one of these, an integer that differs by at most one between linked nodes. A large list
+    of copies so costs rows in proportion to its length, and no link that joins two groups
+    is lost.
     """
     postings = staged(postings, "postings")
-    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("lo"), F.max("node").alias("hi"))
-    lists = staged(lists.filter("members > 1 and lo != hi"), "lists")
-    extra = [c for c in postings.columns if c not in ("key", "node")]
-    side = {s: postings.select("key", F.col("node").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in extra)) for s in "ab"}
+    extra = [c for c in postings.columns if c not in ("key", "node", "rank")]
+    hub = F.struct("rank", "node", *extra)
 
     def tested(pairs: DataFrame) -> DataFrame:
-        near = may_link(pairs.filter("a < b"))
-        return staged(confirm(staged(near.select("a", "b").distinct(), "pairs")).select("a", "b"), "links")
-
-    ends = []
-    for end in ("lo", "hi"):
-        hub = lists.select("key", end).join(postings.withColumnRenamed("node", "hub"), "key").filter(F.col("hub") == F.col(end))
-        hub = hub.select("key", "hub", *(F.col(c).alias(f"{c}_h") for c in extra)).dropDuplicates(["key"])
-        ends.append(hub)
-    star = None
-    for hub in ends:
-        pairs = side["b"].join(hub, "key").filter("hub != b")
-        swap = F.col("hub") < F.col("b")
-        pairs = pairs.select(
-            F.least("hub", "b").alias("a"), F.greatest("hub", "b").alias("b"),
-            *(F.when(swap, F.col(f"{c}_h")).otherwise(F.col(f"{c}_b")).alias(f"{c}_a") for c in extra),
-            *(F.when(swap, F.col(f"{c}_b")).otherwise(F.col(f"{c}_h")).alias(f"{c}_b") for c in extra),
+        near = may_link(pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return staged(confirm(staged(near.filter("a != b").distinct(), "pairs")).select("a", "b"), "links")
+
+    def against(rows: DataFrame, hubs: DataFrame) -> DataFrame:
+        """Pairs of a list's members (b) with its hub (a)."""
+        other = hubs.select("key", F.col("hub.node").alias("a"), *(F.col(f"hub.{c}").alias(f"{c}_a") for c in extra))
+        own = rows.select("key", F.col("node").alias("b"), *(F.col(c).alias(f"{c}_b") for c in extra))
+        return own.join(other, "key").filter("a != b")
+
+    def mixed(rows: DataFrame, groups: DataFrame) -> DataFrame:
+        """Members of lists that lie in several groups, with the group of the list's hub."""
+        rows = rows.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        spans = rows.groupBy("key").agg(
+            F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("rank", "node", "component")).alias("first")
         )
-        star = pairs if star is None else star.unionByName(pairs)
-    links = tested(star)
-    groups = components(links)
-    # What is left: members of one list that lie in different groups, ends excepted.
-    placed = (
-        postings.join(lists.filter("members > 2"), "key").filter("node != lo and node != hi")
-        .join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        return rows.join(spans.filter("low != high").select("key", F.col("first.component").alias("own")), "key")
+
+    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(hub).alias("hub"))
+    lists = staged(lists.filter("members > 1").drop("members"), "lists")
+    clusters = postings.join(lists, "key").drop("key").withColumn("key", F.col("hub.node")).distinct()
+    clusters = staged(clusters, "clusters")
+    first = clusters.select(
+        F.col("hub.node").alias("a"), *(F.col(f"hub.{c}").alias(f"{c}_a") for c in extra),
+        F.col("node").alias("b"), *(F.col(c).alias(f"{c}_b") for c in extra),
     )
-    mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
-    rest = staged(placed.join(mixed.filter("c0 != c1").select("key"), "key", "left_semi"), "rest")
-    left = rest.select("key", F.col("node").alias("a"), F.col("component").alias("ca"), *(F.col(c).alias(f"{c}_a") for c in extra))
-    right = rest.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), *(F.col(c).alias(f"{c}_b") for c in extra))
-    late = tested(left.join(right, "key").filter("a < b and ca != cb"))
-    links = links.unionByName(late).distinct()
-    if not late.isEmpty():
-        groups = components(links)
-    return links, staged(groups, "groups")
+    links = tested(first.filter("a != b"))
+    groups = staged(components(links), "groups")
+    several = clusters.groupBy("key").count().filter("count > 2").select("key")
+    several = clusters.select("key", "node", "rank", *extra).join(several, "key")
+    outside = staged(mixed(several, groups), "outside")
+    if outside.isEmpty():
+        return groups
+    second = outside.filter("component != own").groupBy("key").agg(F.min(hub).alias("hub"))
+    more = tested(against(outside, second))
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        groups = staged(components(links), "groups")
+        outside = staged(mixed(outside.select(*several.columns), groups), "outside")
+    if late is not None:
+        outside, extra = outside.join(late, "node"), extra + [c for c in late.columns if c != "node"]
+    left = outside.select("key", F.col("node").alias("a"), F.col("component").alias("ca"), *(F.col(c).alias(f"{c}_a") for c in extra))
+    right = outside.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), *(F.col(c).alias(f"{c}_b") for c in extra))
+    if band is None:
+        rest = left.join(right, "key")
+    else:
+        near = F.explode(F.array(*(F.col(f"{band}_a") + d for d in (-1, 0, 1))))
+        rest = left.withColumn("band", near).join(right.withColumn("band", F.col(f"{band}_b")), ["key", "band"])
+    rest = tested(may_link_late(rest.filter("a < b and ca != cb")))
+    return groups if rest.isEmpty() else staged(components(links.unionByName(rest)), "groups")
