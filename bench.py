@@ -15,7 +15,7 @@ HEADLINE = [
     "prof_lexical", "prof_chars", "prof_entropy", "mann_whitney_u", "top_words", "keyword_share",
     "block_b", "block_c", "block_f", "block_a_hashed", "bigram_ppl", "style_signals",
     "window_chunks", "sentence_consistency", "ensemble_verdict", "smote_rows", "knn_classify",
-    "gaussian_nb", "roc_auc",
+    "gaussian_nb", "roc_auc", "feature_vector", "sentence_ppl", "scaled", "clean_langs",
 ]
 
 
