@@ -68,6 +68,24 @@ def test_each_token_is_scored_once_and_never_sees_its_future():
     assert abs(np.exp(ways - lm.class_scores(net, [s[:5]])[0]).sum() - 1) < 1e-4
 
 
+def test_network_learns_from_the_last_row_and_every_id(spark):
+    """One partition with far more ids than a worker holds at a time: its last row changes the network."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices("abcdefgh", k=50_000))) for i in range(30)]
+    of = np.arange(lm.IDS) % lm.CLASSES
+    last = next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % lm.FOLDS != lm.HELD_OUT)
+    nets = []
+    for word in "xy":
+        docs = spark.createDataFrame([*rows, (last, f"{word} " * 500)], "id long, text string").coalesce(1)
+        nets.append(lm.fit(docs, of))
+    assert any(not np.array_equal(nets[0][k], nets[1][k]) for k in lm.SHAPES)
+    assert all(np.isfinite(v).all() for v in nets[0].values())
+    for n in (1, 31, 32, 33, 200):
+        s = rng.choices(range(lm.CLASSES), k=n)
+        windows = lm._targets(np.array([lm.CLASSES, *s]))
+        assert [t for w in windows for t in w[1:] if t >= 0] == s
+
+
 def test_base_scores_equal_counting(spark):
     rng = random.Random(0)
     texts = {i: " ".join(rng.choice("Aa b c d e f".split()) for _ in range(rng.choice([1, 5, 60]))) for i in range(60)}
