@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkspect.llm import decontaminate, linededup, lm, maintext, neardup, packing, quality, secrets, tokencount, vectors
+from inkspect.llm import (
+    decontaminate, linededup, lm, maintext, neardup, packing, prefixtrie, quality, resampling, secrets, tokencount, toxicity, vectors,
+)
 from inkspect.llm.common import read
 
 
@@ -50,6 +52,18 @@ def op10_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
     return quality.classify(read(spark, d, "documents"), read(spark, d, "labels"))
 
 
+def op11_importance_resampling(spark: SparkSession, d: str) -> DataFrame:
+    return resampling.resample(read(spark, d, "documents"), read(spark, d, "benchmark"))
+
+
+def op12_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.classify(read(spark, d, "documents"), read(spark, d, "labels"))
+
+
+def op13_prefix_trie(spark: SparkSession, d: str) -> DataFrame:
+    return prefixtrie.trie(read(spark, d, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
@@ -62,6 +76,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_quality_classifier": op10_quality_classifier,
+        "op11_importance_resampling": op11_importance_resampling,
+        "op12_toxicity": op12_toxicity,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
@@ -71,4 +88,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_decontamination": decontaminate.SQL,
         "op3_secret_scan": secrets.sql(),
         "op9_embedding_dedup": vectors.SQL,
+        "op11_importance_resampling": resampling.SQL,
+        "op13_prefix_trie": prefixtrie.SQL,
     }
