@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkspect.catalog.oracle import BIGRAM_JOINS, BIGRAM_MODEL, BIGRAM_NLL, base, bigram_rows, lit, member, over, sql_list, words
+from inkspect.catalog.oracle import BIGRAM_JOINS, BIGRAM_MODEL, BIGRAM_NLL, UNIGRAM, base, bigram_rows, lit, member, over, sql_list, words
 from inkspect.functions import lexicons as lx
 
 SEEDS = (42, 123, 456, 789, 2024)
@@ -134,6 +134,8 @@ def ranked(label: str, seed: int) -> str:
     )
 
 
+KFOLD = f"SELECT doc_id, label, (r % 5)::INTEGER AS fold FROM ({ranked('quality', 42)})"
+
 VEC = "ve AS (SELECT vec_id, embedding::DOUBLE[] AS v, (label = 0)::INTEGER AS label FROM embeddings)"
 NEAR = f"""{VEC},
 pr AS (SELECT a.vec_id, b.vec_id AS nn_id, b.label, pow(list_distance(a.v, b.v), 2) AS d2
@@ -157,6 +159,29 @@ ll AS (SELECT vec_id, label, c, any_value(lp) - 0.5 * sum(ln(2 * pi() * s) + (x
 nb AS (SELECT vec_id, label, arg_max(c, ll)::INTEGER AS prediction, max(ll) - min(ll) AS margin FROM ll GROUP BY vec_id, label)"""
 
 
+# Sigmoid over signed margins: damped Newton steps, counted through to the end.
+PLATT = f"""{NB},
+mg AS (SELECT label, CASE WHEN prediction = 1 THEN margin ELSE -margin END AS m FROM nb),
+ct AS (SELECT count(*) FILTER (label = 0)::DOUBLE AS n0, count(*) FILTER (label = 1)::DOUBLE AS n1 FROM mg),
+tg AS (SELECT label, m, CASE WHEN label = 1 THEN (n1 + 1) / (n1 + 2) ELSE 1 / (n0 + 2) END AS t FROM mg, ct),
+st(i, a, b) AS (SELECT 0, 0.0::DOUBLE, ln((n0 + 1) / (n1 + 1)) FROM ct UNION ALL
+  SELECT i + 1, a - 0.5 * (bb * ga - ab * gb) / (aa * bb - ab * ab), b - 0.5 * (aa * gb - ab * ga) / (aa * bb - ab * ab) FROM (
+    SELECT i, a, b, sum(m * (t - p)) AS ga, sum(t - p) AS gb, sum(m * m * p * (1 - p)) AS aa, sum(m * p * (1 - p)) AS ab, sum(p * (1 - p)) AS bb
+    FROM (SELECT i, a, b, m, t, 1 / (1 + exp(a * m + b)) AS p FROM st, tg WHERE i < 80) GROUP BY i, a, b))"""
+
+# Bigram models of every split, each counted anew without the folds (a, b).
+FOLDED = f"""fo AS ({{kfold}}),
+{bigram_rows('documents', 'doc_id', 'bg')},
+bf AS (SELECT bg.*, coalesce(fold, -1) AS a FROM bg LEFT JOIN fo USING (doc_id)),
+ky AS (SELECT a, a AS b FROM range(-1, 5) AS t(a) UNION SELECT a, 0 FROM range(-1, 5) AS t(a)),
+mc AS (SELECT ky.a, ky.b, w1, w2, count(*) AS c12 FROM bf JOIN ky ON bf.a >= 0 AND bf.a <> ky.a AND bf.a <> ky.b GROUP BY ALL),
+cx AS (SELECT a, b, w1, sum(c12)::BIGINT AS c1, count(*) AS t1 FROM mc GROUP BY ALL),
+un AS (SELECT a, b, w2, sum(c12)::BIGINT AS n2 FROM mc GROUP BY ALL),
+vo AS (SELECT a, b, sum(n2)::DOUBLE + count(*) + 1 AS d FROM un GROUP BY ALL),
+pp AS (SELECT doc_id, b, exp({BIGRAM_NLL}) AS ppl FROM bf JOIN ky USING (a) LEFT JOIN mc USING (a, b, w1, w2)
+  LEFT JOIN cx USING (a, b, w1) LEFT JOIN un USING (a, b, w2) JOIN vo USING (a, b) GROUP BY doc_id, a, b)"""
+
+
 def metric_sql(src: str, by: str, auc: bool = False) -> str:
     """CTE ``mt`` with all label metrics of ``src(by, label, prediction[, p1])``."""
     ranks = f""",
@@ -214,7 +239,7 @@ FROM dec GROUP BY ALL""",
             for model, p in (("ensemble", "p_ai"), ("feature_model", "x"), ("detector_1", "o"), ("detector_2", "f"))
             for cls, expr in (("ai", p), ("human", f"1 - {p}"))
         ),
-        "kfold": f"SELECT doc_id, label, (r % 5)::INTEGER AS fold FROM ({ranked('quality', 42)})",
+        "kfold": KFOLD,
         "stratified_split": " UNION ALL ".join(
             f"SELECT doc_id, CASE WHEN r < floor(n * 0.2 + 0.5) THEN 'test' ELSE 'train' END AS split, {s}::INTEGER AS seed FROM ({ranked('toxic', s)})"
             for s in SEEDS
@@ -232,6 +257,22 @@ SELECT vec_id, dim::INTEGER AS dim, round((x - m) / s, 6) AS z FROM ex JOIN ms U
 SELECT vec_id, (sum(label) >= 3)::INTEGER AS prediction, round(sum(label) / 5.0, 6) AS p1 FROM nn GROUP BY vec_id""",
         "knn_neighbours": f"WITH {NEAR} SELECT vec_id, nn_id, rank, round(d2, 6) AS d2 FROM nn",
         "gaussian_nb": f"WITH {NB} SELECT vec_id, label, prediction, round(margin, 5) AS margin FROM nb",
+        "platt_calibration": f"""WITH RECURSIVE {PLATT},
+pr AS (SELECT label, 1 / (1 + exp(a * m + b)) AS p, 1 / (1 + exp(-m)) AS q FROM mg, (SELECT a, b FROM st WHERE i = 80))
+SELECT (SELECT round(a, 5) FROM st WHERE i = 80) AS a, (SELECT round(b, 5) FROM st WHERE i = 80) AS b,
+  round(avg((p - label) * (p - label)), 6) AS brier, round(avg((q - label) * (q - label)), 6) AS raw_brier FROM pr""",
+        "oof_perplexity": f"""WITH {FOLDED.format(kfold=KFOLD)}
+SELECT doc_id, fold, round(coalesce(own.ppl, 500.0), 4) AS ppl, round(coalesce(zero.ppl, 500.0), 4) AS ppl_without_fold_0
+FROM documents LEFT JOIN fo USING (doc_id) LEFT JOIN pp AS own ON own.doc_id = documents.doc_id AND own.b = coalesce(fold, -1)
+LEFT JOIN pp AS zero ON zero.doc_id = documents.doc_id AND zero.b = 0""",
+        "oof_idf": f"""WITH fo AS ({KFOLD}),
+hb AS (SELECT DISTINCT doc_id, fold, (('0x' || substr(md5(word), 1, 8))::UBIGINT % 384)::INTEGER AS bucket
+  FROM (SELECT doc_id, fold, unnest({words('lower(text)')}) AS word FROM documents JOIN fo USING (doc_id))),
+gr AS (SELECT w AS without, b AS bucket FROM range(-1, 5) AS t(w), range(384) AS u(b)),
+nn AS (SELECT w AS without, count(*) FILTER (fold <> w) AS n FROM fo, range(-1, 5) AS t(w) GROUP BY w),
+dd AS (SELECT without, bucket, count(*) AS df FROM hb JOIN gr USING (bucket) WHERE fold <> without GROUP BY ALL)
+SELECT without::INTEGER AS without, bucket::INTEGER AS bucket, round(ln((n + 1)::DOUBLE / (coalesce(df, 0) + 1)) + 1, 9) AS idf
+FROM gr JOIN nn USING (without) LEFT JOIN dd USING (without, bucket)""",
         "confusion": f"WITH {NB} SELECT label, prediction, count(*) AS n FROM nb GROUP BY ALL",
         "metric_table": f"""WITH {NB}, sc AS (SELECT 'GaussianNB' AS model, label, prediction FROM nb),{metric_sql('sc', 'model')}
 SELECT model, {rounded(['accuracy', 'f1_macro', 'f1_weighted', 'balanced_accuracy', 'mcc', 'precision', 'recall'])} FROM mt""",

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkspect.functions import text as tx
 from inkspect.operators import (
-    bigram, blocks, chunks, classifiers, clean, corpus, ensemble, folds, metrics, neighbours, profile,
-    ranks, smote, style,
+    bigram, blocks, calibration, chunks, classifiers, clean, corpus, ensemble, folds, foldstate, metrics, neighbours,
+    profile, ranks, smote, style,
 )
 from inkspect.plans import features as ft
 from inkspect.plans import scoring, selection
-from inkspect.session import scratch_path, spread, staged
+from inkspect.session import scratch_path, shared_dir, spread, staged
 from inkspect.sources.tables import labelled, table
 from inkspect.streaming.scorer import arriving, score_stream
 from inkspect.streaming.scorer import scored as scored_rows
@@ -311,6 +312,30 @@ def feature_parity(spark, d):
     return ft.parity(staged(blocks.numeric_blocks(docs), "parity"), blocks.numeric_blocks(docs), columns)
 
 
+def _folded(spark, d):
+    """All documents; those with a quality label have a fold, the others are in no state."""
+    labels = table(spark, d, "labels").select("doc_id", F.col("quality").alias("label"))
+    dealt = folds.kfold(labels).select("doc_id", "fold")
+    return spread(staged(_docs(spark, d).join(dealt, "doc_id", "left"), "folded"), "doc_id")
+
+
+def oof_perplexity(spark, d):
+    """Perplexity under the counts of all other folds; unlabelled documents under all folds."""
+    docs = _folded(spark, d)
+    rows = foldstate.perplexities(docs, foldstate.count(docs, 5))
+    return docs.select("doc_id", "fold").join(rows, "doc_id").select(
+        "doc_id", "fold", F.round(F.get("ppl", F.lit(5)), 4).alias("ppl"),
+        F.round(F.get("ppl", F.lit(0)), 4).alias("ppl_without_fold_0"),
+    )
+
+
+def oof_idf(spark, d):
+    """Bucket weights without each fold, and of all folds (-1)."""
+    tables = foldstate.idf_tables(*foldstate.term_counts(_folded(spark, d), 5), 5)
+    rows = [(f, b, w) for f, at in [(-1, 25), *((f, 6 * f) for f in range(5))] for b, w in enumerate(tables[at])]
+    return spark.createDataFrame(rows, "without int, bucket int, idf double").select("without", "bucket", F.round("idf", 9).alias("idf"))
+
+
 # -- style and scoring ------------------------------------------------------
 
 EXACT_SIGNALS = [s for s in style.SIGNALS if s != "has_typos"]
@@ -392,7 +417,11 @@ def probability_table(spark, d):
 
 
 def _models(spark, d):
-    return scoring.train(_cleaned(spark, d), _cleaned(spark, d, "toxic"), iterations=10)
+    """All scoring models; the feature model of the first stage is the champion of the stored ranking."""
+    champion = _ranking(spark, d).first()["model"]
+    return scoring.train(
+        _cleaned(spark, d), _cleaned(spark, d, "toxic"), iterations=10, champions=(champion, "LogisticRegression"), options=LOOPS
+    )
 
 
 def score_documents(spark, d):
@@ -531,27 +560,85 @@ def seed_pivot(spark, d):
     return out.select("model", *[F.round(F.col(f"`{s}`"), 6).alias(f"seed_{s}") for s in selection.SEEDS])
 
 
-# The loops run the quick classifiers; the others are the same calls by name.
-QUICK = {"LogisticRegression": {"maxIter": 20}, "GaussianNB": {}, "DecisionTree": {"maxDepth": 5}}
+def _holdout_of_vectors(name, **options):
+    """A classifier fitted on 90% of the embeddings, the scores of the other 10%."""
 
+    def query(spark, d):
+        vectors = _vectors(spark, d).withColumn("features", array_to_vector("v"))
+        parts = staged(folds.holdout(vectors, id_col="vec_id"), "vector-parts")
+        model = classifiers.fit(name, parts.where("split = 'train'"), **options)
+        held = model.apply(parts.where("split = 'holdout'"))
+        return held.select("vec_id", "label", "prediction", F.round("p1", 9).alias("p1"))
 
-def _table(spark, d, label="quality"):
-    return staged(ft.feature_table(spread(_cleaned(spark, d, label), "doc_id")), "features")
+    return query
 
 
-def screening(spark, d):
-    per_fold = selection.screen(_table(spark, d), list(QUICK), k=5, options=QUICK)
+svm_vectors = _holdout_of_vectors("SVM_Linear", maxIter=20)
+random_forest_vectors = _holdout_of_vectors("RandomForest")
+extra_trees_vectors = _holdout_of_vectors("ExtraTrees")
+ada_boost_vectors = _holdout_of_vectors("AdaBoost", rounds=20)
+gradient_boosting_vectors = _holdout_of_vectors("GradientBoosting", maxIter=20)
+hist_boosting_vectors = _holdout_of_vectors("HistBoosting", rounds=10, depth=3)
+mlp_vectors = _holdout_of_vectors("MLP")
+
+
+def platt_calibration(spark, d):
+    """The sigmoid over the margins of naive Bayes and what it does to the Brier score."""
+    margins = staged(
+        _nb(spark, d).select("label", F.when(F.col("prediction") == 1, F.col("margin")).otherwise(-F.col("margin")).alias("margin")), "nb-margins"
+    )
+    a, b = calibration.fit_sigmoid(margins)
+    scored = margins.withColumn("p1", calibration.sigmoid(F.col("margin"), a, b))
+    raw = margins.withColumn("p1", 1 / (1 + F.exp(-F.col("margin"))))
+    return calibration.brier(scored).select(
+        F.lit(round(a, 5)).alias("a"), F.lit(round(b, 5)).alias("b"), r6("brier"),
+    ).crossJoin(calibration.brier(raw).select(F.round("brier", 6).alias("raw_brier")))
+
+
+# Rounds of the registered loops: a round is a few Spark jobs, whatever the size of the table.
+LOOPS = {
+    "LogisticRegression": {"maxIter": 50}, "SVM_Linear": {"maxIter": 10, "folds": 3}, "AdaBoost": {"rounds": 10},
+    "GradientBoosting": {"maxIter": 10}, "HistBoosting": {"rounds": 5, "depth": 3}, "ExtraTrees": {"trees": 20},
+    "RandomForest": {"numTrees": 50}, "MLP": {"maxIter": 30},
+}
+_split_tables: dict[tuple[str, str], selection.Splits] = {}
+
+
+def _splits(spark, d):
+    """Holdout, folds and their states, made once per session and folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _split_tables:
+        _split_tables[key] = selection.Splits(_cleaned(spark, d))
+    return _split_tables[key]
+
+
+def _ledger(spark, d, name):
+    """Where the finished units of a loop are kept, for the other queries of the session."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{abs(hash(d))}"
+
+
+def _ranking(spark, d):
+    """All classifiers on five folds of the training side, best first."""
+    per_fold = _splits(spark, d).screen(classifiers.NAMES, options=LOOPS, metric_path=_ledger(spark, d, "screening"))
     return metrics.fold_summary(per_fold)
 
 
+def screening(spark, d):
+    return _ranking(spark, d)
+
+
 def stability_run(spark, d):
-    return selection.stability(_table(spark, d), ["GaussianNB"], seeds=selection.SEEDS[:2])
+    """The five best of the stored ranking under five seeds."""
+    best = [r["model"] for r in metrics.top_models(_ranking(spark, d), selection.TOP).collect()]
+    texts = staged(_cleaned(spark, d), "stability-texts")
+    return selection.stability(
+        texts, best, options=LOOPS, matrix=lambda seed: selection.seed_matrix(texts, seed), metric_path=_ledger(spark, d, "stability")
+    )
 
 
 def final_model(spark, d):
-    parts = staged(folds.holdout(_table(spark, d)), "parts")
-    ranked = metrics.fold_summary(
-        selection.screen(parts.where("split = 'train'"), ["GaussianNB", "DecisionTree"], k=2, options=QUICK)
-    )
-    _, _, report = selection.train_final(parts, ranked, scratch_path(spark, "champion"))
+    """The champion on the holdout that no state and no choice has seen."""
+    parts, ranked = _splits(spark, d).final(), _ranking(spark, d)
+    name = ranked.first()["model"]
+    _, _, report = selection.train_final(parts, ranked, scratch_path(spark, "champion"), **LOOPS.get(name, {}))
     return report

@@ -18,12 +18,14 @@ NAMES = [
     "class_histogram", "dashboard_histogram", "box_stats", "top_words", "keyword_share",
     "feature_corr", "vector_summary",
     "block_a_hashed", "block_b", "block_c", "block_d", "block_f", "bigram_ppl", "bigram_ppl_prompts",
-    "feature_vector", "feature_parity",
+    "feature_vector", "feature_parity", "oof_perplexity", "oof_idf",
     "style_signals", "style_prompts", "style_composite", "window_chunks", "chunk_score",
     "sentence_consistency", "sentence_ppl", "ensemble_verdict", "verdict_rollup", "probability_table",
     "kfold", "stratified_split", "holdout_split", "smote_rows", "scaled", "knn_classify",
     "knn_neighbours", "gaussian_nb", "confusion", "metric_table", "class_report", "roc_auc",
     "ranking", "stability_summary", "seed_pivot",
+    "platt_calibration", "svm_vectors", "random_forest_vectors", "extra_trees_vectors", "ada_boost_vectors",
+    "gradient_boosting_vectors", "hist_boosting_vectors", "mlp_vectors",
     "screening", "stability_run", "final_model", "score_documents", "stream_scores",
 ]
 

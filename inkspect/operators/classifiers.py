@@ -1,8 +1,9 @@
 """Classifiers by name over (label, features) tables.
 
-Most are Spark ML estimators behind a scaler. Those Spark ML lacks are built
-from its parts or from DataFrame operators: a linear SVM with calibrated
-probabilities, boosted stumps, and nearest neighbours.
+Some are Spark ML estimators behind a scaler. Those Spark ML lacks are built from its parts or
+from DataFrame operators: a linear SVM with cross-fitted probabilities, boosted stumps,
+second-order boosting, extra trees and nearest neighbours. Every fitted model can be written
+to a folder and read back; ``LOADERS`` knows each kind.
 """
 
 from __future__ import annotations
@@ -10,8 +11,9 @@ from __future__ import annotations
 import logging
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -21,12 +23,12 @@ from pyspark.ml.classification import (
     NaiveBayes,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspect.operators import neighbours
+from inkspect.operators import boosting, calibration, forest, neighbours
 from inkspect.session import staged
 
 log = logging.getLogger(__name__)
@@ -43,18 +45,20 @@ ESTIMATORS: dict[str, Callable] = {
     "GaussianNB": lambda n, d: NaiveBayes(featuresCol="scaled", modelType="gaussian"),
     "DecisionTree": lambda n, d: DecisionTreeClassifier(**TREE, maxDepth=30),
     "RandomForest": lambda n, d: RandomForestClassifier(**TREE, numTrees=100, maxDepth=30),
-    # Spark ML draws no random thresholds; without bootstrap only the feature
-    # subsets differ between trees.
-    "ExtraTrees": lambda n, d: RandomForestClassifier(
-        **TREE, numTrees=100, maxDepth=30, bootstrap=False, featureSubsetStrategy="sqrt"
-    ),
     "GradientBoosting": lambda n, d: GBTClassifier(**TREE, maxIter=100, maxDepth=3, stepSize=0.1),
-    "HistBoosting": lambda n, d: GBTClassifier(**TREE, maxIter=100, maxDepth=6, stepSize=0.3, maxBins=256),
     "MLP": lambda n, d: MultilayerPerceptronClassifier(
         featuresCol="scaled", layers=[d, 256, 128, 2], maxIter=300, seed=42
     ),
 }
-NAMES = [*ESTIMATORS, "SVM_Linear", "AdaBoost", "kNN"]
+
+
+@dataclass
+class Fitted:
+    """A fitted model: ``apply`` adds ``prediction`` (int) and ``p1``, ``write`` stores it in a folder."""
+
+    name: str
+    apply: Callable[[DataFrame], DataFrame]
+    write: Callable[[str], None]
 
 
 def scaler() -> StandardScaler:
@@ -74,7 +78,30 @@ def p1(column: str = "probability") -> Column:
     return F.get(vector_to_array(column), F.lit(1))
 
 
-def pipeline(name: str, train: DataFrame, **overrides):
+def fit(name: str, train: DataFrame, **overrides) -> Fitted:
+    """The model ``name`` fitted on (label, features) rows; ``overrides`` are its parameters."""
+    name = resolve(name)
+    if name in ESTIMATORS:
+        return _spark_ml(name, pipeline(name, train, **overrides))
+    return BUILDERS[name](train, **overrides)
+
+
+def save(model: Fitted, path: str, spark: SparkSession) -> None:
+    model.write(path)
+    spark.createDataFrame([(model.name,)], "model string").write.mode("overwrite").parquet(f"{path}/about")
+
+
+def load(path: str, spark: SparkSession) -> Fitted:
+    name = spark.read.parquet(f"{path}/about").first()["model"]
+    return LOADERS[name](path, spark)
+
+
+def fit_predict(name: str, train: DataFrame, test: DataFrame, id_col: str = "doc_id", **overrides) -> DataFrame:
+    """(id, label, prediction, p1) of ``test`` under a model fitted on ``train``."""
+    return fit(name, train, **overrides).apply(test).select(id_col, "label", "prediction", "p1")
+
+
+def pipeline(name: str, train: DataFrame, **overrides) -> PipelineModel:
     """Fitted scaler + Spark ML classifier; ``overrides`` are estimator parameters."""
     first = train.select("features").first()
     estimator = ESTIMATORS[name](train.count(), len(first["features"]))
@@ -83,55 +110,68 @@ def pipeline(name: str, train: DataFrame, **overrides):
     return Pipeline(stages=[scaler(), estimator]).fit(train)
 
 
-def predict(model, rows: DataFrame) -> DataFrame:
+def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """Adds ``prediction`` (int) and ``p1``."""
-    return model.transform(rows).withColumn("p1", p1()).withColumn("prediction", F.col("prediction").cast("int"))
+    scored = model.transform(rows).withColumn("p1", p1()).withColumn("prediction", F.col("prediction").cast("int"))
+    return scored.select(*rows.columns, "prediction", "p1")
 
 
-def fit_predict(name: str, train: DataFrame, test: DataFrame, id_col: str = "doc_id", **overrides) -> DataFrame:
-    """(id, label, prediction, p1) of ``test`` under a model fitted on ``train``."""
-    name = resolve(name)
-    if name == "SVM_Linear":
-        scored = svm(train, **overrides)(test)
-    elif name == "AdaBoost":
-        scored = boosted_stumps(train, **overrides)(test)
-    elif name == "kNN":
-        scored = knn(train, test, id_col, **overrides)
-    else:
-        scored = predict(pipeline(name, train, **overrides), test)
-    return scored.select(id_col, "label", "prediction", "p1")
-
-
-def svm(train: DataFrame, maxIter: int = 100) -> Callable[[DataFrame], DataFrame]:
-    """Linear SVM; a one-variable logistic regression turns margins into probabilities."""
-    margin = Pipeline(
-        stages=[
-            scaler(),
-            LinearSVC(
-                featuresCol="scaled", rawPredictionCol="raw", predictionCol="svm",
-                maxIter=maxIter, regParam=1.0 / max(train.count(), 1),
-            ),
-        ]
-    ).fit(train)
-
-    def margins(rows: DataFrame) -> DataFrame:
-        scored = margin.transform(rows).withColumn("m", F.get(vector_to_array("raw"), F.lit(1)))
-        return VectorAssembler(inputCols=["m"], outputCol="mv").transform(scored)
-
-    platt = LogisticRegression(featuresCol="mv", probabilityCol="platt", predictionCol="pp", rawPredictionCol="pr")
-    fitted = platt.fit(margins(train))
+def _spark_ml(name: str, model: PipelineModel) -> Fitted:
+    return Fitted(name, lambda rows: predict(model, rows), lambda path: model.write().overwrite().save(f"{path}/pipeline"))
 
+
+def _write(tables: dict[str, DataFrame]) -> Callable[[str], None]:
+    def write(path: str) -> None:
+        for name, table in tables.items():
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
+
+    return write
+
+
+def _margin_model(train: DataFrame, maxIter: int) -> PipelineModel:
+    estimator = LinearSVC(
+        featuresCol="scaled", rawPredictionCol="raw", predictionCol="svm", maxIter=maxIter, regParam=1.0 / max(train.count(), 1)
+    )
+    return Pipeline(stages=[scaler(), estimator]).fit(train)
+
+
+def _with_margin(model: PipelineModel) -> Callable[[DataFrame], DataFrame]:
     def apply(rows: DataFrame) -> DataFrame:
-        out = fitted.transform(margins(rows))
-        return out.withColumn("p1", p1("platt")).withColumn("prediction", F.col("svm").cast("int"))
+        scored = model.transform(rows).withColumn("margin", F.get(vector_to_array("raw"), F.lit(1)))
+        return scored.select(*rows.columns, "margin")
 
     return apply
 
 
-def boosted_stumps(train: DataFrame, rounds: int = 100) -> Callable[[DataFrame], DataFrame]:
+def svm(train: DataFrame, maxIter: int = 100, folds: int = 5) -> Fitted:
+    """Linear SVM; a sigmoid over out-of-fold margins turns the margins of the full model into probabilities."""
+    rows = staged(train.select(F.monotonically_increasing_id().alias("row"), "label", "features"), "svm-train")
+    margins = calibration.cross_margins(rows, lambda part: _with_margin(_margin_model(part, maxIter)), folds, id_col="row")
+    return _svm(_margin_model(rows, maxIter), *calibration.fit_sigmoid(margins))
+
+
+def _svm(model: PipelineModel, a: float, b: float) -> Fitted:
+    def apply(rows: DataFrame) -> DataFrame:
+        scored = _with_margin(model)(rows).withColumn("p1", calibration.sigmoid(F.col("margin"), a, b))
+        return scored.withColumn("prediction", (F.col("margin") > 0).cast("int")).drop("margin")
+
+    def write(path: str) -> None:
+        model.write().overwrite().save(f"{path}/pipeline")
+        spark = SparkSession.active()
+        spark.createDataFrame([(a, b)], "a double, b double").write.mode("overwrite").parquet(f"{path}/sigmoid")
+
+    return Fitted("SVM_Linear", apply, write)
+
+
+def _load_svm(path: str, spark: SparkSession) -> Fitted:
+    row = spark.read.parquet(f"{path}/sigmoid").first()
+    return _svm(PipelineModel.load(f"{path}/pipeline"), row["a"], row["b"])
+
+
+def boosted_stumps(train: DataFrame, rounds: int = 100) -> Fitted:
     """AdaBoost over depth-1 trees.
 
-    A stump is (feature, threshold, left class, right class). Row weights are a column;
+    A stump is (weight, feature, threshold, left class, right class). Row weights are a column;
     every ``STORED_ROUNDS`` rounds they are written, so a round evaluates a few stumps only
     and the plan does not grow with the loop.
     """
@@ -140,12 +180,8 @@ def boosted_stumps(train: DataFrame, rounds: int = 100) -> Callable[[DataFrame],
     pending: list[tuple[float, int, float, float, float]] = []
     stumps: list[tuple[float, int, float, float, float]] = []
 
-    def vote(stump) -> Column:
-        _, feature, threshold, left, right = stump
-        return F.when(F.get("_x", F.lit(feature)) <= threshold, left).otherwise(right)
-
     def weight() -> Column:
-        misses = [F.when(vote(s) != F.col("label"), s[0]).otherwise(0.0) for s in pending]
+        misses = [F.when(_vote(s) != F.col("label"), s[0]).otherwise(0.0) for s in pending]
         return sum(misses, F.col("_logw"))
 
     for _ in range(rounds):
@@ -164,7 +200,7 @@ def boosted_stumps(train: DataFrame, rounds: int = 100) -> Callable[[DataFrame],
             0.0, split.featureIndex(), split.threshold(),
             root.leftChild().prediction(), root.rightChild().prediction(),
         )
-        error = weighted.agg(F.sum(F.when(vote(stump) != F.col("label"), F.col("_w")).otherwise(0.0))).first()[0]
+        error = weighted.agg(F.sum(F.when(_vote(stump) != F.col("label"), F.col("_w")).otherwise(0.0))).first()[0]
         if error >= 0.5:
             break
         alpha = math.log((1 - error) / error) if error > 0 else 30.0
@@ -172,32 +208,107 @@ def boosted_stumps(train: DataFrame, rounds: int = 100) -> Callable[[DataFrame],
         pending.append(stumps[-1])
         if error <= 0:
             break
+    return _stumps(stumps)
+
+
+def _vote(stump: tuple[float, int, float, float, float]) -> Column:
+    _, feature, threshold, left, right = stump
+    return F.when(F.get("_x", F.lit(feature)) <= threshold, left).otherwise(right)
 
+
+def _stumps(stumps: list[tuple[float, int, float, float, float]]) -> Fitted:
     def apply(rows: DataFrame) -> DataFrame:
         total = sum(s[0] for s in stumps)
-        signed = [s[0] * (2 * vote(s) - 1) for s in stumps]
+        signed = [s[0] * (2 * _vote(s) - 1) for s in stumps]
         margin = sum(signed, F.lit(0.0)) / (total or 1.0)
         scored = rows.withColumn("_x", vector_to_array("features")).withColumn("_m", margin)
-        return scored.withColumn("prediction", (F.col("_m") > 0).cast("int")).withColumn(
-            "p1", 1 / (1 + F.exp(-2 * F.col("_m")))
-        )
+        scored = scored.withColumn("prediction", (F.col("_m") > 0).cast("int"))
+        return scored.withColumn("p1", 1 / (1 + F.exp(-2 * F.col("_m")))).drop("_x", "_m")
 
-    return apply
+    def write(path: str) -> None:
+        shape = "round int, weight double, feature int, threshold double, at_most double, above double"
+        rows = [(i, *map(float, s[:1]), int(s[1]), *map(float, s[2:])) for i, s in enumerate(stumps)]
+        SparkSession.active().createDataFrame(rows, shape).write.mode("overwrite").parquet(f"{path}/stumps")
 
+    return Fitted("AdaBoost", apply, write)
+
+
+def _load_stumps(path: str, spark: SparkSession) -> Fitted:
+    rows = spark.read.parquet(f"{path}/stumps").orderBy("round").collect()
+    return _stumps([(r["weight"], r["feature"], r["threshold"], r["at_most"], r["above"]) for r in rows])
 
-def knn(train: DataFrame, test: DataFrame, id_col: str, k: int = 5, **options) -> DataFrame:
-    """Vote of the k nearest scaled training rows (synthetic rows included)."""
-    fitted = scaler().fit(train)
 
-    def scaled(rows: DataFrame) -> DataFrame:
-        return fitted.transform(rows).withColumn("v", vector_to_array("scaled"))
+def hist_boosting(train: DataFrame, **parameters) -> Fitted:
+    return _boosted(boosting.fit(train, **parameters))
 
-    points = staged(
-        scaled(train).select(F.monotonically_increasing_id().alias(id_col), "label", "v"), "knn-train"
+
+def _boosted(model: boosting.Boosted) -> Fitted:
+    return Fitted(
+        "HistBoosting", lambda rows: boosting.predict(model, rows),
+        lambda path: _write(boosting.tables(model, SparkSession.active()))(path),
     )
-    found = neighbours.nearest(scaled(test), points, k, id_col, "v", **options)
-    votes = neighbours.classify(found, points, id_col).withColumnRenamed("qid", id_col)
-    return test.select(id_col, "label").join(votes, id_col)
+
+
+def _load_boosted(path: str, spark: SparkSession) -> Fitted:
+    return _boosted(boosting.from_tables(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/cuts")))
+
+
+def extra_trees(train: DataFrame, **parameters) -> Fitted:
+    return _forest(forest.fit(train, **parameters))
+
+
+def _forest(model: forest.Forest) -> Fitted:
+    return Fitted(
+        "ExtraTrees", lambda rows: forest.predict(model, rows),
+        lambda path: _write(forest.tables(model, SparkSession.active()))(path),
+    )
+
+
+def _load_forest(path: str, spark: SparkSession) -> Fitted:
+    return _forest(forest.from_tables(spark.read.parquet(f"{path}/nodes")))
+
+
+def knn(train: DataFrame, k: int = 5, **options) -> Fitted:
+    """Vote of the k nearest scaled training rows (synthetic rows included)."""
+    fitted = Pipeline(stages=[scaler()]).fit(train)
+    points = _scaled(fitted, train).select(F.monotonically_increasing_id().alias("point"), "label", "v")
+    return _neighbours(fitted, staged(points, "knn-train"), k, **options)
+
+
+def _scaled(fitted: PipelineModel, rows: DataFrame) -> DataFrame:
+    return fitted.transform(rows.drop("v")).withColumn("v", vector_to_array("scaled"))
+
+
+def _neighbours(fitted: PipelineModel, points: DataFrame, k: int, **options) -> Fitted:
+    def apply(rows: DataFrame) -> DataFrame:
+        # Rows are numbered once, so that repeated ids keep apart.
+        rows = staged(rows.withColumn("point", F.monotonically_increasing_id()), "knn-rows")
+        found = neighbours.nearest(_scaled(fitted, rows), points, k, "point", "v", **options)
+        votes = neighbours.classify(found, points, "point").withColumnRenamed("qid", "point")
+        return rows.join(votes, "point").drop("point")
+
+    def write(path: str) -> None:
+        fitted.write().overwrite().save(f"{path}/pipeline")
+        _write({"points": points})(path)
+        SparkSession.active().createDataFrame([(k,)], "k int").write.mode("overwrite").parquet(f"{path}/settings")
+
+    return Fitted("kNN", apply, write)
+
+
+def _load_neighbours(path: str, spark: SparkSession) -> Fitted:
+    k = spark.read.parquet(f"{path}/settings").first()["k"]
+    return _neighbours(PipelineModel.load(f"{path}/pipeline"), spark.read.parquet(f"{path}/points"), k)
+
+
+BUILDERS: dict[str, Callable[..., Fitted]] = {
+    "SVM_Linear": svm, "AdaBoost": boosted_stumps, "HistBoosting": hist_boosting, "ExtraTrees": extra_trees, "kNN": knn,
+}
+NAMES = [*ESTIMATORS, *BUILDERS]
+LOADERS: dict[str, Callable[[str, SparkSession], Fitted]] = {
+    **{n: lambda path, spark, n=n: _spark_ml(n, PipelineModel.load(f"{path}/pipeline")) for n in ESTIMATORS},
+    "SVM_Linear": _load_svm, "AdaBoost": _load_stumps, "HistBoosting": _load_boosted, "ExtraTrees": _load_forest,
+    "kNN": _load_neighbours,
+}
 
 
 def gaussian_nb(df: DataFrame, id_col: str, vector: str, label: str = "label") -> DataFrame:

@@ -10,9 +10,9 @@ from inkspect.streaming import scorer
 
 FAST = {
     "LogisticRegression": {"maxIter": 20}, "RandomForest": {"numTrees": 5, "maxDepth": 4},
-    "ExtraTrees": {"numTrees": 5, "maxDepth": 4}, "GradientBoosting": {"maxIter": 3},
-    "HistBoosting": {"maxIter": 3, "maxDepth": 3}, "MLP": {"maxIter": 30, "layers": [2, 4, 2]},
-    "AdaBoost": {"rounds": 4}, "SVM_Linear": {"maxIter": 10},
+    "ExtraTrees": {"trees": 10, "depth": 5}, "GradientBoosting": {"maxIter": 3},
+    "HistBoosting": {"rounds": 4, "depth": 2}, "MLP": {"maxIter": 30, "layers": [2, 4, 2]},
+    "AdaBoost": {"rounds": 4}, "SVM_Linear": {"maxIter": 5, "folds": 2},
 }
 
 
@@ -24,11 +24,17 @@ def toy(spark):
 
 
 @pytest.mark.parametrize("name", classifiers.NAMES)
-def test_classifier_separates_toy_classes(toy, name):
-    scores = classifiers.fit_predict(name, toy.where("doc_id < 80"), toy.where("doc_id >= 80"), **FAST.get(name, {}))
-    rows = scores.collect()
+def test_classifier_separates_toy_classes_and_is_stored(toy, spark, tmp_path, name):
+    test = toy.where("doc_id >= 80")
+    model = classifiers.fit(name, toy.where("doc_id < 80"), **FAST.get(name, {}))
+    columns = ["doc_id", "label", "prediction", "p1"]
+    rows = model.apply(test).select(*columns).collect()
     assert len(rows) == 40 and all(0 <= r.p1 <= 1 for r in rows)
     assert sum(r.prediction == r.label for r in rows) >= 36
+    classifiers.save(model, str(tmp_path / "model"), spark)
+    again = classifiers.load(str(tmp_path / "model"), spark)
+    assert again.name == name
+    assert sorted(map(tuple, again.apply(test).select(*columns).collect())) == sorted(map(tuple, rows))
 
 
 def test_unknown_name_falls_back():
@@ -41,16 +47,74 @@ def test_screening_stability_and_final(toy, spark, tmp_path):
     train = parts.where("split = 'train'")
     per_fold = selection.screen(train, ["GaussianNB", "DecisionTree"], k=2, metric_path=str(tmp_path / "m"))
     assert per_fold.count() == 4 and spark.read.parquet(str(tmp_path / "m")).count() == 4
+    assert per_fold.columns == ["model", "fold", *metrics.METRICS]
     ranked = metrics.fold_summary(per_fold)
     seeds = selection.stability(train, ["GaussianNB"], seeds=[42, 123])
     assert seeds.count() == 2 and selection.best_stable(metrics.stability_summary(seeds)) == "GaussianNB"
     name, held, report = selection.train_final(parts, ranked, str(tmp_path / "model"))
     assert name in ("GaussianNB", "DecisionTree")
-    values = {r.metric: r.value for r in report.collect()}
+    rows = report.collect()
+    values = {r.metric: r.value for r in rows if r.section == "metrics"}
     assert set(values) == set(metrics.METRICS) and values["accuracy"] > 0.9
+    assert {r.model for r in rows} == {name}
+    assert sum(r.value for r in rows if r.section == "confusion") == held.count()
+    assert {r.metric for r in rows if r.section == "classes"} >= {"0 f1", "1 recall", "macro avg precision", "weighted avg support"}
     assert held.join(train, "doc_id").count() == 0
 
 
+def test_a_champion_of_any_kind_is_saved_as_it_is(toy, spark, tmp_path):
+    ranked = spark.createDataFrame([("kNN", 0.9), ("GaussianNB", 0.8)], "model string, ranking_score double")
+    name, _, report = selection.train_final(toy, ranked, str(tmp_path / "model"))
+    assert name == "kNN" and {r.model for r in report.collect()} == {"kNN"}
+
+
+def test_a_killed_screening_goes_on_where_it_stopped(toy, tmp_path, monkeypatch):
+    names, ledger = ["GaussianNB", "DecisionTree", "kNN"], str(tmp_path / "ledger")
+    true_fit, fits = classifiers.fit_predict, []
+
+    def fails(name, *rest, **options):
+        fits.append(name)
+        if name == "kNN":
+            raise RuntimeError("killed")
+        return true_fit(name, *rest, **options)
+
+    monkeypatch.setattr(classifiers, "fit_predict", fails)
+    with pytest.raises(RuntimeError, match="killed"):
+        selection.screen(toy, names, k=2, metric_path=ledger, workers=1)
+    finished = {(r.model, r.part) for r in toy.sparkSession.read.parquet(ledger).collect()}
+    assert finished and all(m != "kNN" for m, _ in finished)
+
+    def counted(name, *rest, **options):
+        fits.append(name)
+        return true_fit(name, *rest, **options)
+
+    fits.clear()
+    monkeypatch.setattr(classifiers, "fit_predict", counted)
+    resumed = selection.screen(toy, names, k=2, metric_path=ledger, workers=3)
+    assert len(fits) == 6 - len(finished)
+    fits.clear()
+    again = selection.screen(toy, names, k=2, metric_path=ledger)
+    assert not fits
+    plain = selection.screen(toy, names, k=2, workers=2)
+    assert [tuple(r) for r in resumed.collect()] == [tuple(r) for r in again.collect()] == [tuple(r) for r in plain.collect()]
+    fits.clear()
+    selection.screen(toy.where("doc_id < 119"), ["GaussianNB"], k=2, metric_path=ledger)
+    assert len(fits) == 2  # other rows, other units
+
+
+def test_no_holdout_text_in_any_state(spark, sf):
+    """Holdout texts replaced by others: every count, weight and training feature stays."""
+    texts = clean.clean(labelled(spark, sf, "quality")).select("doc_id", "text", "label").cache()
+    splits = selection.Splits(texts, k=3)
+    held = {r.doc_id for r in splits.texts.where("split = 'holdout'").collect()}
+    other = F.when(F.col("doc_id").isin(*held), F.lit("entirely other words of the holdout")).otherwise(F.col("text"))
+    again = selection.Splits(texts.withColumn("text", other), k=3)
+    assert held and again.counts.idf == splits.counts.idf and again.counts.sizes == splits.counts.sizes
+    total = lambda s: {r.doc_id: round(sum(r.v), 9) for r in s.final().where("split = 'train'").collect()}
+    assert total(again) == total(splits)
+    assert splits.final().agg(F.min(F.size("v")), F.max(F.size("v"))).first()[0] == ft.DIMS
+
+
 @pytest.fixture(scope="module")
 def trained(spark, sf):
     docs = clean.clean(labelled(spark, sf, "quality"))
