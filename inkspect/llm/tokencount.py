@@ -23,9 +23,12 @@ from inkspect.llm.common import id_text, map_chunks
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
-# Nodes of a worker's trie before it starts anew; longer words don't enter it.
+# Nodes of a worker's trie, and words with known counts, before it starts anew; longer words don't enter it.
 MOST_NODES = 400_000
+MOST_WORDS = 400_000
 LONGEST = 128
+# Pieces are looked up by their last characters, which tell the lengths that can end there.
+TAIL = 3
 
 
 @lru_cache(maxsize=4)
@@ -46,19 +49,26 @@ class Trie(dict):
     def __init__(self, scores: dict[str, float], byte: float):
         super().__init__()
         self.scores, self.byte = scores, byte
-        self.width = max(map(len, scores), default=1)
+        lengths: dict[str, set[int]] = {}
+        for piece in scores:
+            if len(piece) > TAIL:
+                lengths.setdefault(piece[-TAIL:], set()).add(len(piece))
+        self.lengths = {tail: tuple(sorted(found)) for tail, found in lengths.items()}
         self.start()
 
     def start(self) -> None:
-        self.clear()
+        """Forget the nodes; the counts of words stay while they are few."""
+        if len(self) > MOST_WORDS:
+            self.clear()
         self.child: dict[tuple[int, str], int] = {}
         self.best = [(0.0, 0)]
 
     def _step(self, word: str, d: int, before: list[tuple[float, int]]) -> tuple[float, int]:
         """Best (score, -pieces) of the first ``d`` characters, given those of shorter prefixes."""
         get, best = self.scores.get, None
-        for k in range(1, min(self.width, d) + 1):
-            s = get(word[d - k : d])
+        longer = self.lengths.get(word[d - TAIL : d], ()) if d > TAIL else ()
+        for k in (*range(1, min(TAIL, d) + 1), *longer):
+            s = get(word[d - k : d]) if k <= d else None
             if s is not None:
                 score, n = before[d - k]
                 found = (score + s, n - 1)
@@ -99,7 +109,7 @@ def count(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
 
     def run(part: pa.RecordBatch) -> dict:
         trie = _trie(path)
-        if len(trie.best) > MOST_NODES:
+        if len(trie.best) > MOST_NODES or len(trie) > MOST_WORDS:
             trie.start()
         words = [(t or "").split() for t in part.column("text").to_pylist()]
         return {"doc_id": part.column("id"), "n_words": [len(w) for w in words], "n_tokens": [sum(map(trie.__getitem__, w)) for w in words]}
