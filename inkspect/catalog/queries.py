@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from inkspect.functions import text as tx
 from inkspect.operators import (
     bigram, blocks, calibration, chunks, classifiers, clean, corpus, ensemble, folds, foldstate, metrics, neighbours,
-    profile, ranks, smote, style,
+    profile, ranks, sketches, smote, style,
 )
+from inkspect.operators.deliveries import Digests
 from inkspect.plans import features as ft
 from inkspect.plans import scoring, selection
 from inkspect.session import scratch_path, shared_dir, spread, staged
@@ -47,6 +48,22 @@ def exact_dedup(spark, d):
     return clean.keep_first(_docs(spark, d)).select("doc_id", F.length("text").cast("long").alias("n_chars"))
 
 
+def incremental_dedup(spark, d):
+    """Three deliveries, English, then French, then the rest, each against the digests of those before."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", "lang"), "doc_id")
+    path = scratch_path(spark, "digests")
+    name = f"digests_{path[-32:]}"
+    store = Digests(spark, name, path, buckets=8)
+    deliveries = [("en", "lang = 'en'"), ("fr", "lang = 'fr'"), ("other", "lang NOT IN ('en', 'fr') OR lang IS NULL")]
+    out = None
+    for delivery, rows in deliveries:
+        kept = store.admit(docs.where(rows), delivery).select("doc_id", F.lit(delivery).alias("delivery"))
+        kept = staged(kept, "kept")
+        out = kept if out is None else out.unionByName(kept)
+    spark.sql(f"DROP TABLE {name}")  # its definition; the files stay in the scratch folder
+    return out
+
+
 def min_words(spark, d):
     return clean.long_enough(_docs(spark, d)).select("doc_id", tx.n_tokens(F.col("text")).cast("long").alias("n_words"))
 
@@ -211,6 +228,17 @@ def percentile_clip(spark, d):
     return ranks.percentiles(cum, [0.5, 0.99]).select("feature", F.col("p").alias("fraction"), r6("value"))
 
 
+def sketch_percentiles(spark, d):
+    """Percentiles from one stored sketch per source, merged: how many rows, and whether the rank error is in its bound."""
+    sources = table(spark, d, "documents").select("doc_id", "source")
+    wide = profile.row_profile(_docs(spark, d)).join(sources, "doc_id")
+    long = staged(ranks.unpivot(wide, HIST_FEATURES, "source"), "sketch-values")
+    stored = staged(sketches.per_slice(long, "source"), "sketches")
+    found = sketches.quantiles(sketches.merged(stored), [0.01, 0.25, 0.5, 0.75, 0.99])
+    errors = sketches.rank_errors(found, long)
+    return errors.select("feature", "p", "n", (F.col("error") <= sketches.ERROR).alias("in_bound"))
+
+
 # Histograms registered for SQL comparison use integer-valued features, whose
 # bin edges both engines compute without rounding differences.
 HIST_FEATURES = ["char_len", "word_count", "sent_count"]
@@ -492,6 +520,15 @@ def knn_neighbours(spark, d):
     return found.select(F.col("qid").alias("vec_id"), F.col("pid").alias("nn_id"), "rank", r6("d2"))
 
 
+def knn_recall(spark, d):
+    """The approximate neighbours against the exact ones."""
+    rows = _vectors(spark, d)
+    exact = neighbours.nearest(rows, rows, 5, "vec_id", "v", skip_self=True).select("qid", "pid")
+    near = neighbours.nearest(rows, rows, 5, "vec_id", "v", skip_self=True, method="probes").select("qid", "pid", F.lit(1).alias("hit"))
+    found = exact.join(near, ["qid", "pid"], "left").agg(F.count(F.lit(1)).alias("n_pairs"), F.count("hit").alias("hits"))
+    return found.select("n_pairs", (F.col("hits") >= 0.9 * F.col("n_pairs")).alias("enough"))
+
+
 def _nb(spark, d):
     return classifiers.gaussian_nb(_vectors(spark, d), "vec_id", "v")
 

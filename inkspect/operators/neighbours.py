@@ -1,13 +1,18 @@
-"""Exact k nearest neighbours between two tables of vectors.
+"""k nearest neighbours between two tables of vectors, exact unless asked otherwise.
 
 Points of a checked, small size are broadcast and each task compares its own
 queries with them. Larger point sets are cut into Voronoi cells around a few
 pivots; triangle inequalities rule out cells that cannot hold a neighbour, and
 what remains meets in pairs of bounded blocks. Both ways are exact.
+
+``method="probes"`` is approximate and only used when named: as many cells as the square root
+of the number of points, and every query meets the points of its ``probes`` nearest cells, in
+bounded blocks. Its work is queries x probes x cell size in place of queries x points.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +25,7 @@ from inkspect.session import staged
 
 MAX_BROADCAST_BYTES = 64 << 20
 PIVOTS = 64
+PROBES = 16
 BLOCK_ROWS = 4096
 RESULT = "qid long, pid long, d2 double"
 
@@ -61,15 +67,20 @@ def _vectors(df: DataFrame, id_col: str, vector: str, name: str) -> DataFrame:
 def nearest(
     queries: DataFrame, points: DataFrame, k: int, id_col: str, vector: str,
     skip_self: bool = False, max_broadcast_bytes: int = MAX_BROADCAST_BYTES, block_rows: int = BLOCK_ROWS,
+    method: str = "exact", probes: int = PROBES,
 ) -> DataFrame:
     """(qid, pid, d2, rank): the k nearest points of every query, ranks from 1.
 
     ``skip_self`` leaves out the point with the query's own id.
     """
+    if method not in ("exact", "probes"):
+        raise ValueError(f"no method {method}")
     q = _vectors(queries, id_col, vector, "qid")
     p = _vectors(points, id_col, vector, "pid")
     size = p.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("d")).first()
-    if size["n"] * (size["d"] + 1) * 8 <= max_broadcast_bytes:
+    if method == "probes":
+        found = _by_probes(q, staged(p, "knn-points"), k, skip_self, block_rows, size["n"], probes)
+    elif size["n"] * (size["d"] + 1) * 8 <= max_broadcast_bytes:
         found = _by_broadcast(q, p, k, skip_self)
     else:
         found = _by_cells(q, staged(p, "knn-points"), k, skip_self, block_rows)
@@ -93,7 +104,6 @@ def _by_broadcast(q: DataFrame, p: DataFrame, k: int, skip_self: bool) -> DataFr
 
 
 def _by_cells(q: DataFrame, p: DataFrame, k: int, skip_self: bool, block_rows: int) -> DataFrame:
-    spark = q.sparkSession
     # Pivots: the PIVOTS points with the smallest id hash.
     pivots = _matrix(p.orderBy(F.xxhash64("pid"), "pid").limit(PIVOTS).toPandas().v)
 
@@ -135,13 +145,46 @@ def _by_cells(q: DataFrame, p: DataFrame, k: int, skip_self: bool, block_rows: i
             yield batch.iloc[rows].assign(cell=ids[cols])
 
     routed = staged(q.mapInPandas(route, "qid long, v array<double>, cell long"), "knn-routed")
-    load = routed.groupBy("cell").agg(F.count(F.lit(1)).alias("nq")).toPandas().set_index("cell").nq
-    table = spark.createDataFrame(
-        [
-            (int(c), int(s), int(np.ceil(load.get(c, 0) / block_rows)))
-            for c, s in zip(ids, subs)
-        ],
-        "cell long, subs int, parts int",
+    return _in_blocks(routed, cells, dict(zip(ids.tolist(), subs.tolist(), strict=True)), k, skip_self, block_rows)
+
+
+def _by_probes(q: DataFrame, p: DataFrame, k: int, skip_self: bool, block_rows: int, n: int, probes: int) -> DataFrame:
+    """Approximate: candidates are the points of the cells whose pivots are nearest to the query."""
+    count = max(1, math.isqrt(n))
+    rows = p.orderBy(F.xxhash64("pid"), "pid").limit(count).toPandas()  # the square root of the number of points
+    if rows.empty:
+        return q.sparkSession.createDataFrame([], RESULT)
+    shared = q.sparkSession.sparkContext.broadcast(_matrix(rows.v))
+
+    def nearest_cells(batch: pd.DataFrame, most: int) -> np.ndarray:
+        pivots, v = shared.value, _matrix(batch.v)
+        square = (pivots * pivots).sum(axis=1)[None, :] - 2.0 * v @ pivots.T
+        most = min(most, len(pivots))
+        return np.argpartition(square, most - 1, axis=1)[:, :most]
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield batch.assign(cell=nearest_cells(batch, 1)[:, 0])
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                cells = nearest_cells(batch, probes)
+                at = np.repeat(np.arange(len(batch)), cells.shape[1])
+                yield batch.iloc[at].assign(cell=cells.ravel())
+
+    cells = staged(p.mapInPandas(assign, "pid long, v array<double>, cell long"), "knn-cells")
+    routed = staged(q.mapInPandas(route, "qid long, v array<double>, cell long"), "knn-routed")
+    sizes = {r["cell"]: math.ceil(r["n"] / block_rows) for r in cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return _in_blocks(routed, cells, sizes, k, skip_self, block_rows)
+
+
+def _in_blocks(routed: DataFrame, cells: DataFrame, subs: dict[int, int], k: int, skip_self: bool, block_rows: int) -> DataFrame:
+    """Candidates of routed queries among the points of their cells; both sides of a cell are cut into blocks."""
+    load = {r["cell"]: r["n"] for r in routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    table = routed.sparkSession.createDataFrame(
+        [(int(c), int(n), math.ceil(load.get(c, 0) / block_rows)) for c, n in subs.items()], "cell long, subs int, parts int"
     )
     plan = F.broadcast(table)  # one row per pivot
 

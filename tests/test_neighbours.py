@@ -30,6 +30,30 @@ def test_both_ways_are_exact(points, limit, block):
     assert have == brute(v, 5)
 
 
+@pytest.mark.parametrize("block", [8, 4096])
+def test_probes_find_most_neighbours(points, block):
+    v, df = points
+    got = neighbours.nearest(df, df, 5, "doc_id", "v", True, block_rows=block, method="probes", probes=8).collect()
+    have = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        have.setdefault(r.qid, []).append(r.pid)
+        assert r.d2 == pytest.approx(((v[r.qid] - v[r.pid]) ** 2).sum()) and r.qid != r.pid
+    want = brute(v, 5)
+    assert sum(len(set(have.get(i, [])) & set(want[i])) for i in want) >= 0.9 * 5 * len(want)
+    all_cells = neighbours.nearest(df, df, 5, "doc_id", "v", True, block_rows=block, method="probes", probes=17).collect()
+    every = {}
+    for r in sorted(all_cells, key=lambda r: r["rank"]):
+        every.setdefault(r.qid, []).append(r.pid)
+    assert every == want
+
+
+def test_probes_of_no_points_and_unknown_method(points):
+    _, df = points
+    assert neighbours.nearest(df, df.limit(0), 5, "doc_id", "v", method="probes").count() == 0
+    with pytest.raises(ValueError):
+        neighbours.nearest(df, df, 5, "doc_id", "v", method="fast")
+
+
 def test_vote(points, spark):
     v, df = points
     near = brute(v, 5)
