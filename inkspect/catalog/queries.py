@@ -334,10 +334,19 @@ def feature_vector(spark, d):
 
 
 def feature_parity(spark, d):
-    """Blocks from the batch plan against the same blocks stored and read back."""
+    """Blocks stored at training time and read back against the blocks that scoring builds."""
     docs = _docs(spark, d)
-    columns = [*blocks.BLOCK_B, *blocks.BLOCK_C, *blocks.BLOCK_D, *blocks.BLOCK_F]
-    return ft.parity(staged(blocks.numeric_blocks(docs), "parity"), blocks.numeric_blocks(docs), columns)
+    state = ft.fit_state(docs)
+    folder = scratch_path(spark, "blocks")
+    ft.stored_blocks(docs, state, folder)  # training
+    stored = ft.stored_blocks(docs, state, folder)  # found up to date
+    serving = ft.block_frames(docs, state)
+    numeric = [*blocks.BLOCK_B, *blocks.BLOCK_C, *blocks.BLOCK_D, *blocks.BLOCK_F]
+
+    def wide(frames):
+        return staged(frames["numeric"].join(frames["perplexity"], "doc_id"), "parity")
+
+    return ft.parity(wide(stored), wide(serving), [*numeric, "ppl"])
 
 
 def _folded(spark, d):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,6 +105,35 @@ def block_table(spark: SparkSession, path: str, build) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def versioned_block(
+    df: DataFrame, path: str, build, version: str, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """A stored block that follows its input: only ids whose text or version changed are built anew.
+
+    Every row keeps the digest of the text and the version it was built from. ``version`` names
+    the code and whatever else decides the values, such as a fitted state. A change is written
+    beside the old table and then entered in the manifest, so readers see one or the other.
+    Ids are unique; ids that are gone from ``df`` leave the block.
+    """
+    spark, manifest = df.sparkSession, f"{path}/manifest"
+    marks = df.select(F.col(id_col), F.coalesce(F.md5(text_col), F.lit("")).alias("_digest"))
+    kept, stale, held = None, df, 0
+    if is_complete(spark, manifest):
+        folder = spark.read.parquet(manifest).orderBy(F.desc("number")).first()
+        stored, held = spark.read.parquet(folder["path"]), folder["number"]
+        kept = stored.where(F.col("_version") == version).join(marks, [id_col, "_digest"], "left_semi")
+        stale = df.join(kept.select(id_col), id_col, "left_anti")
+        if stale.isEmpty() and kept.count() == stored.count():
+            return stored.drop("_digest", "_version")
+    fresh = build(stale).join(marks, id_col).withColumn("_version", F.lit(version))
+    whole = fresh if kept is None else kept.select(*fresh.columns).unionByName(fresh)
+    target = f"{path}/{uuid.uuid4().hex}"
+    whole.write.parquet(target)
+    entry = [(held + 1, target, version)]
+    spark.createDataFrame(entry, "number long, path string, version string").write.mode("append").parquet(manifest)
+    return spark.read.parquet(target).drop("_digest", "_version")
+
+
 def labelled(spark: SparkSession, folder: str, label: str) -> DataFrame:
     """Documents with one of the label columns as ``label``.
 
