@@ -1,19 +1,22 @@
 """Ranks and quantiles that never gather one feature or one class in one task.
 
-A global order is computed in two levels: values are cut into ordered buckets,
-bucket totals are accumulated (a table of at most ``groups x buckets`` rows), and
-the running sum inside a bucket is added to the total of the buckets before it.
+A global order is computed in two levels: values are dealt out by range and stored, the
+totals of the ranges are accumulated (a table of at most ``groups + ranges`` rows), and
+the running sum inside a range is added to the total of the ranges before it.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkspect.session import staged
 
-BUCKETS = 64
+# Distinct values of a range.
+RANGE_ROWS = 500_000
 
 
 def unpivot(df: DataFrame, features: list[str], *keys: str) -> DataFrame:
@@ -31,26 +34,20 @@ def value_counts(long: DataFrame) -> DataFrame:
     )
 
 
-def _bucketed(vc: DataFrame, buckets: int) -> DataFrame:
-    # The cut points are fetched once (features x buckets doubles) so that every
-    # later reference, and every recomputed task, sees the same buckets.
-    fractions = [i / buckets for i in range(1, buckets)]
-    cuts = (
-        vc.groupBy("feature")
-        .agg(F.percentile_approx("value", fractions, buckets * 20).alias("cuts"))
-        .collect()
-    )
-    table = vc.sparkSession.createDataFrame(
-        [(r["feature"], r["cuts"]) for r in cuts], "feature string, cuts array<double>"
-    )
-    return vc.join(F.broadcast(table), "feature").withColumn(
-        "bucket", F.size(F.filter("cuts", lambda c: c < F.col("value")))
-    ).drop("cuts")
+def _ranged(vc: DataFrame, ranges: int | None) -> DataFrame:
+    """The rows dealt out by (feature, value) and stored with the number of their range as ``bucket``."""
+    stored = staged(vc, "value-counts")
+    ranges = ranges or max(1, math.ceil(stored.count() / RANGE_ROWS))
+    dealt = stored.repartitionByRange(ranges, "feature", "value").withColumn("bucket", F.spark_partition_id())
+    return staged(dealt, "value-ranges")
 
 
-def cumulative(vc: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Value counts plus ``b0``/``b1``: rows of each class with a smaller value."""
-    parts = _bucketed(staged(vc, "value-counts"), buckets)
+def cumulative(vc: DataFrame, ranges: int | None = None) -> DataFrame:
+    """Value counts plus ``b0``/``b1``: rows of each class with a smaller value.
+
+    The number of ranges follows the rows unless it is given.
+    """
+    parts = _ranged(vc, ranges)
     before = Window.partitionBy("feature").orderBy("bucket").rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -69,7 +66,7 @@ def cumulative(vc: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return (
         parts.withColumn("i0", F.coalesce(F.sum("n0").over(inside), F.lit(0)))
         .withColumn("i1", F.coalesce(F.sum("n1").over(inside), F.lit(0)))
-        .join(F.broadcast(offsets), ["feature", "bucket"])  # features x buckets rows
+        .join(F.broadcast(offsets), ["feature", "bucket"])  # features + ranges rows
         .select(
             "feature", "value", "n0", "n1",
             (F.col("i0") + F.col("o0")).alias("b0"),

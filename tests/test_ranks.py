@@ -26,7 +26,7 @@ def brute_u(rows, index):
 def test_u_and_auc_match_pair_counting(sample):
     rows, df = sample
     long = ranks.unpivot(df, ["tied", "smooth"], "label")
-    got = {r.feature: r for r in ranks.rank_sums(ranks.cumulative(ranks.value_counts(long), buckets=7)).collect()}
+    got = {r.feature: r for r in ranks.rank_sums(ranks.cumulative(ranks.value_counts(long), ranges=7)).collect()}
     scores = long.select(F.col("feature").alias("model"), F.col("value").alias("score"), "label")
     auc = {r.model: r.roc_auc for r in ranks.roc_auc(scores).collect()}
     for i, name in ((2, "tied"), (3, "smooth")):
@@ -36,9 +36,19 @@ def test_u_and_auc_match_pair_counting(sample):
         assert got[name].z >= 0
 
 
+def test_the_number_of_ranges_follows_the_rows(sample, monkeypatch):
+    rows, df = sample
+    vc = ranks.value_counts(ranks.unpivot(df, ["tied", "smooth"], "label"))
+    found = lambda cum: sorted(map(tuple, cum.select("feature", "value", "n0", "n1", "b0", "b1").collect()))
+    one = found(ranks.cumulative(vc))
+    monkeypatch.setattr(ranks, "RANGE_ROWS", 50)
+    assert ranks._ranged(vc, None).select("bucket").distinct().count() == math.ceil(vc.count() / 50)
+    assert found(ranks.cumulative(vc)) == one
+
+
 def test_percentiles_are_exact(sample):
     rows, df = sample
-    cum = ranks.cumulative(ranks.value_counts(ranks.unpivot(df, ["tied", "smooth"], "label")), buckets=5)
+    cum = ranks.cumulative(ranks.value_counts(ranks.unpivot(df, ["tied", "smooth"], "label")), ranges=5)
     qs = [0.0, 0.25, 0.5, 0.99, 1.0]
     pooled = {(r.feature, r.p): r.value for r in ranks.percentiles(cum, qs).collect()}
     split = {(r.feature, r.side, r.p): r.value for r in ranks.percentiles(cum, qs, pooled=False).collect()}
