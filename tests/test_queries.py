@@ -1,12 +1,13 @@
-"""Every registered query that has SQL, compared with DuckDB on the small tables."""
+"""Every registered query of the core that has SQL, compared with DuckDB on the small tables."""
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 from compare import TABLES, canonical
+from inkspect.catalog import oracle, oracle_models
 
-SQL = entry.oracle_sql()
+SQL = {**oracle.oracle(), **oracle_models.oracle()}
 
 
 @pytest.fixture(scope="module")
