@@ -5,41 +5,49 @@ Fixed values: results depend on every entry, and on the order of
 """
 
 # Stop list of the corpus profile (50 words).
-PROFILE_STOP_WORDS = """
-the a an is in it of to and or for
-with on at by from that this was are be
-as he she they we i his her its our their
-but if not have had has do did does will
-would could should may might can shall about
-""".split()
+PROFILE_STOP_WORDS = [
+    "the", "a", "an", "is", "in", "it", "of", "to", "and", "or", "for", "with", "on", "at", "by", "from",
+    "that", "this", "was", "are", "be", "as", "he", "she", "they", "we", "i", "his", "her", "its", "our",
+    "their", "but", "if", "not", "have", "had", "has", "do", "did", "does", "will", "would", "could",
+    "should", "may", "might", "can", "shall", "about",
+]
 
 # The public English stop list used by the stylometric block.
-ENGLISH_STOP_WORDS = """
-i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves
-he him his himself she she's her hers herself it it's its itself they them their theirs themselves
-what which who whom this that that'll these those am is are was were be been being have has had
-having do does did doing a an the and but if or because as until while of at by for with about
-against between into through during before after above below to from up down in out on off over
-under again further then once here there when where why how all any both each few more most other
-some such no nor not only own same so than too very s t can will just don don't should should've now
-d ll m o re ve y ain aren aren't couldn couldn't didn didn't doesn doesn't hadn hadn't hasn hasn't
-haven haven't isn isn't ma mightn mightn't mustn mustn't needn needn't shan shan't shouldn shouldn't
-wasn wasn't weren weren't won won't wouldn wouldn't
-""".split()
+ENGLISH_STOP_WORDS = [
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "you're", "you've", "you'll", "you'd",
+    "your", "yours", "yourself", "yourselves", "he", "him", "his", "himself", "she", "she's", "her", "hers",
+    "herself", "it", "it's", "its", "itself", "they", "them", "their", "theirs", "themselves", "what",
+    "which", "who", "whom", "this", "that", "that'll", "these", "those", "am", "is", "are", "was", "were",
+    "be", "been", "being", "have", "has", "had", "having", "do", "does", "did", "doing", "a", "an", "the",
+    "and", "but", "if", "or", "because", "as", "until", "while", "of", "at", "by", "for", "with", "about",
+    "against", "between", "into", "through", "during", "before", "after", "above", "below", "to", "from",
+    "up", "down", "in", "out", "on", "off", "over", "under", "again", "further", "then", "once", "here",
+    "there", "when", "where", "why", "how", "all", "any", "both", "each", "few", "more", "most", "other",
+    "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "s", "t", "can",
+    "will", "just", "don", "don't", "should", "should've", "now", "d", "ll", "m", "o", "re", "ve", "y", "ain",
+    "aren", "aren't", "couldn", "couldn't", "didn", "didn't", "doesn", "doesn't", "hadn", "hadn't", "hasn",
+    "hasn't", "haven", "haven't", "isn", "isn't", "ma", "mightn", "mightn't", "mustn", "mustn't", "needn",
+    "needn't", "shan", "shan't", "shouldn", "shouldn't", "wasn", "wasn't", "weren", "weren't", "won", "won't",
+    "wouldn", "wouldn't",
+]
 
 # Second person, modal verbs and imperative openers of the profile.
-SECOND_PERSON = "you your yours yourself you're you've you'll you'd".split()
-MODAL_VERBS = "can could will would shall should may might must".split()
-PROFILE_IMPERATIVES = """
-do dont don't please make tell show give stop
-start ignore act forget pretend bypass jailbreak
-""".split()
+SECOND_PERSON = [
+    "you", "your", "yours", "yourself", "you're", "you've", "you'll", "you'd",
+]
+MODAL_VERBS = [
+    "can", "could", "will", "would", "shall", "should", "may", "might", "must",
+]
+PROFILE_IMPERATIVES = [
+    "do", "dont", "don't", "please", "make", "tell", "show", "give", "stop", "start", "ignore", "act",
+    "forget", "pretend", "bypass", "jailbreak",
+]
 
 # Imperative openers of the structural block.
-STRUCTURAL_IMPERATIVES = """
-ignore tell give write act pretend forget
-bypass do make show stop start roleplay
-""".split()
+STRUCTURAL_IMPERATIVES = [
+    "ignore", "tell", "give", "write", "act", "pretend", "forget", "bypass", "do", "make", "show", "stop",
+    "start", "roleplay",
+]
 
 # Unsafe-prompt keywords.
 UNSAFE_KEYWORDS = [
@@ -79,12 +87,13 @@ HEDGING = [
 ]
 
 # Informal markers and first-person pronouns.
-HUMAN_MARKERS = """
-lol lmao ngl tbh imo smh bruh omg
-haha gonna wanna kinda gotta dunno
-yeah yep nah hmm umm idk btw
-""".split()
-FIRST_PERSON = "i my me mine myself".split()
+HUMAN_MARKERS = [
+    "lol", "lmao", "ngl", "tbh", "imo", "smh", "bruh", "omg", "haha", "gonna", "wanna", "kinda", "gotta",
+    "dunno", "yeah", "yep", "nah", "hmm", "umm", "idk", "btw",
+]
+FIRST_PERSON = [
+    "i", "my", "me", "mine", "myself",
+]
 
 # Phrase patterns; the last 20 are the meta group.
 AI_PHRASES = [
