@@ -4,11 +4,11 @@ import zlib
 import numpy as np
 
 from inkspect.llm import packing
-from inkspect.llm.subwords import encoder
+from inkspect.llm.subwords import marking_encoder
 
 
 def check(pieces, texts, window):
-    encode = encoder()
+    encode = marking_encoder()
     by_doc, by_sequence = {}, {}
     for p in pieces:
         by_doc.setdefault(p["doc_id"], []).append(p)
@@ -44,9 +44,9 @@ def test_every_token_once_and_little_padding(spark):
 def test_repeated_rows_and_null_ids(spark):
     rows = [(1, "one two three")] * 3 + [(None, "four five")] * 2
     pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), window=8).collect()
-    n = len(encoder()("one two three")) + 1
+    n = len(marking_encoder()("one two three")) + 1
     assert sum(p["length"] for p in pieces if p["doc_id"] == 1) == 3 * n
-    assert sum(p["length"] for p in pieces if p["doc_id"] is None) == 2 * (len(encoder()("four five")) + 1)
+    assert sum(p["length"] for p in pieces if p["doc_id"] is None) == 2 * (len(marking_encoder()("four five")) + 1)
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
@@ -68,8 +68,7 @@ def test_ids_equal_the_other_library(sf, spark):
     from tokenizers import Tokenizer
 
     other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    other.encode_special_tokens = True
     texts = [r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
     texts += ["a <|endoftext|> b", "  x\n\n  y", "\U0001f600\U0001f600", "it's we'll", "   "]
-    encode = encoder()
+    encode = marking_encoder()
     assert [encode(t) for t in texts] == [e.ids for e in other.encode_batch(texts, add_special_tokens=False)]
