@@ -65,10 +65,14 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _scopes.remove(paths)
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for path in paths:
-            found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            found.getFileSystem(conf).delete(found, True)
+        _delete(spark, paths)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(conf).delete(found, True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -82,7 +86,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     for paths in _scopes:
         paths.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``staged`` wrote, once all that is derived from them is stored itself."""
+    for table in tables:
+        _delete(table.sparkSession, [table._scratch])
 
 
 def plan_bytes(df: DataFrame) -> int:
