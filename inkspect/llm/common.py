@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspect.session import spread, staged
+from inkspect.session import discard, spread, staged
 
 # Characters of text that a Python worker unpacks at a time.
 CHUNK_CHARS = 2_000_000
@@ -157,7 +157,10 @@ def linked_groups(
 
     def tested(pairs: DataFrame) -> DataFrame:
         near = may_link(pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        return staged(confirm(staged(near.filter("a != b").distinct(), "pairs")).select("a", "b"), "links")
+        near = staged(near.filter("a != b").distinct(), "pairs")
+        links = staged(confirm(near).select("a", "b"), "links")
+        discard(near)
+        return links
 
     def against(rows: DataFrame, hubs: DataFrame) -> DataFrame:
         """Pairs of a list's members (b) with its hub (a)."""
@@ -177,6 +180,7 @@ def linked_groups(
     lists = staged(lists.filter("members > 1").drop("members"), "lists")
     clusters = postings.join(lists, "key").drop("key").withColumn("key", F.col("hub.node")).distinct()
     clusters = staged(clusters, "clusters")
+    discard(postings, lists)
     first = clusters.select(
         F.col("hub.node").alias("a"), *(F.col(f"hub.{c}").alias(f"{c}_a") for c in extra),
         F.col("node").alias("b"), *(F.col(c).alias(f"{c}_b") for c in extra),
@@ -199,9 +203,11 @@ def linked_groups(
     left = outside.select("key", F.col("node").alias("a"), F.col("component").alias("ca"), *(F.col(c).alias(f"{c}_a") for c in extra))
     right = outside.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), *(F.col(c).alias(f"{c}_b") for c in extra))
     if band is None:
-        rest = left.join(right, "key")
+        rest = left.join(right, "key").filter("a < b and ca != cb")
     else:
-        near = F.explode(F.array(*(F.col(f"{band}_a") + d for d in (-1, 0, 1))))
+        # Every pair once: inside a band in the order of the nodes, else from the lower band.
+        near = F.explode(F.array(*(F.col(f"{band}_a") + d for d in (0, 1))))
         rest = left.withColumn("band", near).join(right.withColumn("band", F.col(f"{band}_b")), ["key", "band"])
-    rest = tested(may_link_late(rest.filter("a < b and ca != cb")))
+        rest = rest.filter(f"ca != cb and ({band}_a < {band}_b or a < b)")
+    rest = tested(may_link_late(rest))
     return groups if rest.isEmpty() else staged(components(links.unionByName(rest)), "groups")
