@@ -214,11 +214,12 @@ def links(classes: DataFrame, kind: str, cosine: float = COSINE) -> tuple[DataFr
     h = F.xxhash64("node")
     own = indexed.join(F.broadcast(sizes), "list").select(
         "list", F.pmod(h, "mb").cast("int").alias("mt"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("qt"),
-        F.lit(True).alias("member"), "node", "mult", "dim", "vec", "codes", "error",
+        F.lit(True).alias("member"), "node", "mult", "dim", "vec", "codes", "error", F.col("list").alias("home"), "probes",
     )
-    query = indexed.withColumn("list", F.explode("probes")).join(F.broadcast(sizes), "list").select(
+    query = indexed.withColumn("home", F.col("list")).withColumn("list", F.explode("probes")).join(F.broadcast(sizes), "list").select(
         "list", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("mt"), F.pmod(h, "qb").cast("int").alias("qt"),
         F.lit(False).alias("member"), "node", "mult", "dim", "vec", F.lit(b"").alias("codes"), F.lit(0.0).alias("error"),
+        "home", F.array().cast("array<int>").alias("probes"),
     )
 
     def tile(key, rows: pd.DataFrame) -> pd.DataFrame:
@@ -234,11 +235,15 @@ def links(classes: DataFrame, kind: str, cosine: float = COSINE) -> tuple[DataFr
         ok = (qn[i] != mn[j]) & (q["dim"].to_numpy()[i] == m["dim"].to_numpy()[j])
         i, j = i[ok], j[ok]
         n = np.bincount(i, weights=m["mult"].to_numpy()[j], minlength=len(q)).astype(np.int64)
-        some = np.flatnonzero(n)
+        # A member that doesn't probe the asking vector's list won't find this link itself, so it is counted here.
+        probed = np.concatenate([row * MOST_LISTS + np.asarray(lists, np.int64) for row, lists in enumerate(m["probes"])])
+        alone = ~np.isin(j * MOST_LISTS + q["home"].to_numpy(dtype=np.int64)[i], probed)
+        back = np.bincount(j[alone], weights=q["mult"].to_numpy()[i[alone]], minlength=len(m)).astype(np.int64)
+        some, others = np.flatnonzero(n), np.flatnonzero(back)
         a, b = _forest(qn[i], mn[j])
         return pd.DataFrame({
-            "a": np.concatenate([qn[some], a]), "b": np.concatenate([np.full(len(some), -1), b]),
-            "links": np.concatenate([n[some], np.zeros(len(a), np.int64)]),
+            "a": np.concatenate([qn[some], mn[others], a]), "b": np.concatenate([np.full(len(some) + len(others), -1), b]),
+            "links": np.concatenate([n[some], back[others], np.zeros(len(a), np.int64)]),
         })
 
     found = staged(own.unionByName(query).groupBy("list", "mt", "qt").applyInPandas(tile, "a bigint, b bigint, links bigint"), "links")

@@ -47,3 +47,21 @@ def test_recall_on_the_given_vectors(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     rows = df.orderBy("vec_id").collect()
     assert sorted(map(tuple, vectors.report(df).collect())) == [(rows[i]["vec_id"], n, rows[c]["vec_id"], k) for i, n, c, k in brute([r["embedding"] for r in rows])]
+
+
+def test_links_of_correlated_vectors_count_on_both_sides(spark):
+    """Variances 1/i in 64 dimensions: every link counts at both ends, and few are lost."""
+    rng = np.random.default_rng(9)
+    scale = 1 / np.sqrt(np.arange(1, 65))
+    base = rng.normal(size=(1500, 64)) * scale
+    near = base + 0.29 * rng.normal(size=base.shape) * scale
+    rows = [list(map(float, r)) for r in np.concatenate([base, near])]
+    unit = np.array(rows) / np.linalg.norm(rows, axis=1)[:, None]
+    link = unit @ unit.T >= 0.95
+    np.fill_diagonal(link, False)
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in vectors.report(df).collect()}
+    want = link.sum(axis=1)
+    counts = np.array([got[i] for i in range(len(rows))])
+    assert (counts <= want).all() and counts.sum() % 2 == 0
+    assert counts.sum() >= 0.99 * want.sum() > 0
