@@ -32,60 +32,146 @@ def test_token_counts_equal_plain_dynamic_programming(spark):
     assert tokencount.count(df.limit(0)).count() == 0
 
 
+def _vocabulary(seen=300, seed=0):
+    n = np.zeros(lm.IDS)
+    n[np.random.default_rng(seed).choice(lm.IDS, seen, replace=False)] = np.arange(1, seen + 1)
+    return lm.vocabulary(n)
+
+
+def _network(v, seed=0):
+    """Weights in double precision, none of them zero."""
+    rng = np.random.default_rng(seed)
+    return {k: w + rng.normal(0, 0.1, w.shape) for k, w in lm.fresh(v).items()}
+
+
+def _plain_log_p(net, v, window, rank):
+    """Log p(rank | window), by loops over positions, classes and places."""
+    softmax = lambda z: [math.exp(i - max(z)) / sum(math.exp(j - max(z)) for j in z) for i in z]
+    x = [net["embed"][r] + net["place"][i] for i, r in enumerate(window)]
+    q = x[-1] @ net["query"]
+    weight = softmax([float(q @ (y @ net["key"])) / math.sqrt(lm.DIM) for y in x])
+    m = sum(w * (y @ net["value"]) for w, y in zip(weight, x, strict=True))
+    y = x[-1] + m @ net["mix"]
+    h = y + sum(max(float(y @ net["up"][j]), 0.0) * net["down"][j] for j in range(lm.HIDDEN))
+    top = softmax([float(h @ w) + float(p) for w, p in zip(net["top"], v.class_prior, strict=True)])
+    if rank < v.alone:
+        return math.log(top[rank])
+    if rank == v.seen:
+        return math.log(top[-1]) - math.log(lm.IDS - v.seen)
+    g, place = divmod(rank - v.alone, v.size)
+    inside = softmax([float(h @ net["leaf"][g * v.size + i]) + float(v.leaf_prior[g, i]) for i in range(v.size)])
+    return math.log(top[v.alone + g]) + math.log(inside[place])
+
+
+def test_text_scores_equal_plain_loops():
+    v = _vocabulary()
+    net = _network(v)
+    rng = np.random.default_rng(7)
+    texts = [rng.integers(0, v.seen + 1, n) for n in (1, 5, 32, 33, 75)]
+    got = lm.text_scores(net, v, texts)
+    for s, have in zip(texts, got, strict=True):
+        path, want = [v.seen + 1, *s.tolist()], 0.0
+        for i, rank in enumerate(s.tolist()):
+            # The window that scores position i starts at a multiple of STRIDE.
+            start = 0 if i < lm.WINDOW else -(-(i + 1 - lm.WINDOW) // lm.STRIDE) * lm.STRIDE
+            want += _plain_log_p(net, v, path[start : i + 1], rank)
+        assert abs(have - want) < 1e-3
+
+
+def test_vocabularies_of_every_size():
+    for seen in (0, 1, lm.ALONE, lm.ALONE + 1, 5000, lm.IDS):
+        v = _vocabulary(seen)
+        net = lm.fresh(v)
+        ranks = np.unique(v.rank)
+        assert abs(np.exp(v.class_prior).sum() - 1) < 1e-4 and v.groups * v.size >= seen - v.alone
+        # Before training the probabilities are the priors, and they add up to one over all ids.
+        p = np.exp(lm.text_scores(net, v, [np.array([r]) for r in ranks]))
+        many = np.array([(lm.IDS - seen) if r == v.seen else 1 for r in ranks])
+        assert abs((p * many).sum() - 1) < (1e-3 if seen < lm.IDS else 0.01)
+
+
 def test_attention_gradients_equal_finite_differences():
     rng = np.random.default_rng(0)
-    net = {k: v.astype(np.float64) for k, v in lm.fresh(3).items()}
-    c = rng.integers(0, lm.CLASSES, (2, lm.WINDOW))
-    target = rng.integers(0, lm.CLASSES, (2, lm.WINDOW))
+    v = _vocabulary()
+    net = _network(v, 3)
+    c = rng.integers(0, v.seen + 2, (2, lm.WINDOW))
+    target = rng.integers(0, v.seen + 1, (2, lm.WINDOW))
     known = rng.random((2, lm.WINDOW)) < 0.8
-    _, g = lm.gradients(net, c, target, known)
-    for name in lm.SHAPES:
-        at = tuple(rng.integers(0, n) for n in net[name].shape)
-        if name == "embed":
-            at = (int(c[0, 3]), at[1])
-        values = []
-        for sign in (1, -1):
-            moved = {k: v.copy() for k, v in net.items()}
-            moved[name][at] += sign * 1e-5
-            values.append(lm.gradients(moved, c, target, known)[0])
-        assert abs((values[0] - values[1]) / 2e-5 - g[name][at]) < 1e-5
+    _, whole, tables = lm.gradients(net, v, c, target, known)
+    for name, (rows, d) in tables.items():
+        whole[name] = np.zeros_like(net[name])
+        whole[name][rows] = d
+    for name in (*lm.DENSE, *lm.TABLES):
+        for row in rng.choice(np.flatnonzero(np.abs(whole[name]).sum(axis=1)), 5):
+            at, values = (row, rng.integers(0, lm.DIM)), []
+            for sign in (1, -1):
+                moved = {k: w.copy() for k, w in net.items()}
+                moved[name][at] += sign * 1e-5
+                values.append(lm.gradients(moved, v, c, target, known)[0])
+            assert abs((values[0] - values[1]) / 2e-5 - whole[name][at]) < 1e-5
 
 
 def test_each_token_is_scored_once_and_never_sees_its_future():
-    net = lm.fresh(5)
+    v = _vocabulary()
+    net = _network(v, 5)
     rng = np.random.default_rng(1)
     for n in (1, 8, 31, 32, 33, 57, 200):
-        s = rng.integers(0, lm.CLASSES, n)
-        windows, begin = lm._cut(np.append(lm.CLASSES, s))
+        s = rng.integers(0, v.seen + 1, n)
+        windows, begin = lm._cut(np.append(v.seen + 1, s))
         scored = [t for w, b in zip(windows, begin) for t in w[1 + b :] if t >= 0]
         assert scored == s.tolist()
-    s = rng.integers(0, lm.CLASSES, 40)
-    other = np.append(s[:30], rng.integers(0, lm.CLASSES, 10))
-    total = [lm.class_scores(net, [x[:k] for k in (25, 30)]) for x in (s, other)]
+    s = rng.integers(0, v.seen + 1, 40)
+    other = np.append(s[:30], rng.integers(0, v.seen + 1, 10))
+    total = [lm.text_scores(net, v, [x[:k] for k in (25, 30)]) for x in (s, other)]
     assert np.allclose(total[0], total[1])
     # Probabilities of all continuations add up to one.
-    ways = lm.class_scores(net, [np.append(s[:5], k) for k in range(lm.CLASSES)])
-    assert abs(np.exp(ways - lm.class_scores(net, [s[:5]])[0]).sum() - 1) < 1e-4
+    ways = lm.text_scores(net, v, [np.append(s[:5], k) for k in range(v.seen + 1)])
+    many = np.append(np.ones(v.seen), lm.IDS - v.seen)
+    assert abs((np.exp(ways - lm.text_scores(net, v, [s[:5]])[0]) * many).sum() - 1) < 1e-4
 
 
 def test_network_learns_from_the_last_row_and_every_id(spark):
     """One partition with far more ids than a worker holds at a time: its last row changes the network."""
     rng = random.Random(4)
-    rows = [(i, " ".join(rng.choices("abcdefgh", k=50_000))) for i in range(30)]
-    of = np.arange(lm.IDS) % lm.CLASSES
+    rows = [(i, " ".join(rng.choices("abcdefgh", k=30_000))) for i in range(30)]
+    n = np.zeros(lm.IDS)
+    for c in "abcdefghxy":
+        n[lm.encoder()(" " + c)] = 5
+    n[lm.END] = 5
+    v = lm.vocabulary(n)
     last = next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % lm.FOLDS != lm.HELD_OUT)
     nets = []
     for word in "xy":
         docs = spark.createDataFrame([*rows, (last, f"{word} " * 500)], "id long, text string").coalesce(1)
-        nets.append(lm.fit(docs, of))
-    assert any(not np.array_equal(nets[0][k], nets[1][k]) for k in lm.SHAPES)
-    assert all(np.isfinite(v).all() for v in nets[0].values())
+        nets.append(lm.fit(lm.prepared(docs), v))
+    assert any(not np.array_equal(nets[0][k], nets[1][k]) for k in nets[0])
+    assert all(np.isfinite(w).all() for w in nets[0].values())
     for n in (1, 31, 32, 33, 200):
-        s = rng.choices(range(lm.CLASSES), k=n)
-        windows = lm._targets(np.array([lm.CLASSES, *s]))
+        s = rng.choices(range(v.seen), k=n)
+        windows = lm._targets(np.array([v.seen + 1, *s]))
         assert [t for w in windows for t in w[1:] if t >= 0] == s
 
 
+def test_held_out_texts_are_predicted_from_their_context(spark):
+    """Words follow each other by a rule, which no count of single words knows."""
+    rng = random.Random(2)
+    names = [a + b for a in "bdfgklmnprst" for b in ("ra", "lo", "mi", "du", "ne")]
+    rule = {w: rng.sample(names, 3) for w in names}
+
+    def text():
+        words = [rng.choice(names)]
+        while len(words) < 300:
+            words.append(rng.choice(rule[words[-1]]))
+        return " ".join(words)
+
+    rows = lm.score(spark.createDataFrame([(i, text()) for i in range(1500)], "doc_id long, text string").coalesce(1)).collect()
+    held = [r for r in rows if r["held_out"]]
+    per = [sum(r[k] for r in held) / sum(r["n_tokens"] for r in held) for k in ("score", "base_score")]
+    # The rule leaves log10(3) = 0.48 of what a word has by itself, which is up to log10(60) = 1.78.
+    print(per)
+    assert per[0] > per[1] + 0.5
+
+
 def test_base_scores_equal_counting(spark):
     rng = random.Random(0)
     texts = {i: " ".join(rng.choice("Aa b c d e f".split()) for _ in range(rng.choice([1, 5, 60]))) for i in range(60)}
