@@ -18,7 +18,8 @@ SILENT = set(
 # Elements that a start tag closes if they are open, and where the search for them ends.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
           "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
-# Elements, roles and parts of class or id names that declare what is not the article.
+# Elements, roles and class or id names that declare what is not the article. A name
+# declares it if it consists of such words, alone or with words for a place or a container.
 NOISE_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog"}
 NOISE_ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 NOISE_NAMES = set(
@@ -26,13 +27,21 @@ NOISE_NAMES = set(
     "gdpr login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted promotion "
     "related replies reply share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget".split()
 )
+NEUTRAL_NAMES = set(
+    "area articles bar block body bottom box btn button buttons col column container content desktop div element form "
+    "global group header holder icon icons id inner item items js left level line link links list main message mobile "
+    "module outer overlay page panel placeholder popover post posts primary right row secondary section site slot stories "
+    "text title top ui unit wrap wrapper zone".split()
+)
 CONTENT_TAGS = {"article", "main"}
 _NAME_PARTS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _names(value: str) -> set[str]:
-    return set(_NAME_PARTS.findall(_CAMEL.sub(" ", value).lower()))
+def _declares(name: str) -> bool:
+    """Whether a class or id says that its element isn't part of the article: ``ad-slot`` does, ``ad-hoc`` doesn't."""
+    words = set(_NAME_PARTS.findall(_CAMEL.sub(" ", name).lower()))
+    return bool(words & NOISE_NAMES) and words <= NOISE_NAMES | NEUTRAL_NAMES
 
 
 class _Reader(HTMLParser):
@@ -78,10 +87,9 @@ class _Reader(HTMLParser):
         named = {k: v or "" for k, v in attrs}
         classes = named.get("class", "").split()
         _, _, noise, content, silent = self.open[-1] if self.open else ("", "", False, False, False)
-        names = _names(" ".join([*classes, named.get("id", "")]))
         noise = noise or tag in NOISE_TAGS or named.get("role", "") in NOISE_ROLES or "hidden" in named
         # The page itself may carry such a name without being one.
-        noise = noise or (tag not in ("html", "body", *CONTENT_TAGS) and bool(names & NOISE_NAMES))
+        noise = noise or (tag not in ("html", "body", *CONTENT_TAGS) and any(map(_declares, [*classes, named.get("id", "")])))
         noise = noise or (tag == "header" and not content)
         content = content or tag in CONTENT_TAGS or named.get("role") == "main"
         label = ".".join([tag, *sorted(c.lower() for c in classes)])

@@ -12,6 +12,15 @@ def test_article_text():
     assert maintext.main_text(PAGE, set()).split("\n\n") == ["Title & more", "One two three", "Four five ©", "a", "b", "x", "y"]
 
 
+def test_names_that_only_hold_a_noise_word_declare_nothing():
+    page = '<article><p>Before</p><div class="{}"><p>Inside</p></div><p>After</p></article>'
+    for name in ("social-policy", "share-price", "ad-hoc", "related-work", "notice-of-meeting", "replyTheory", "story", ""):
+        assert maintext.main_text(page.format(name), set()) == "Before\n\nInside\n\nAfter", name
+    for name in ("ad", "ad-slot", "box cookieNotice", "comments__item", "share-buttons", "related-articles", "newsletter-signup", "adTop2"):
+        assert maintext.main_text(page.format(name), set()) == "Before\n\nAfter", name
+    assert maintext.main_text('<article><p id="share-price">Up</p><p id="cookie-bar">x</p></article>', set()) == "Up"
+
+
 def test_odd_pages():
     assert maintext.main_text(None, set()) == maintext.main_text("", set()) == ""
     assert maintext.main_text("plain &lt;text&gt;", set()) == "plain <text>"
