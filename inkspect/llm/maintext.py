@@ -10,8 +10,9 @@ to page make a node important; what is the same on all pages is not:
 
 Branches that declare themselves (navigation, footers, adverts, forms, comments) have no
 importance. Where a page has an article element with text, the text is what stands in
-it. Nodes are removed for low importance only with ``MIN_PAGES`` different pages as
-evidence, inside an article only if they are practically constant. Equal pages of a
+it. The importance of a node on m pages is smoothed as if ``PRIOR_PAGES`` further pages spoke for
+it, so what is the same on three pages of a small host goes outside an article, while inside one a
+node has to be practically constant on some thirty pages. Equal pages of a
 host count once, so copies don't make their own text look like a template.
 
 The tree is counted in Spark; hosts are never gathered, so a host with a third of all
@@ -32,7 +33,7 @@ from inkspect.llm.common import joined_small, map_chunks
 from inkspect.llm.html import blocks
 from inkspect.session import spread, staged
 
-MIN_PAGES = 20
+PRIOR_PAGES = 1.5
 GAMMA = 0.9
 OUTSIDE = 0.4
 INSIDE = 0.05
@@ -79,7 +80,8 @@ def style_tree(pages: DataFrame) -> DataFrame:
     shape = log_m - F.col("clc") / F.col("m")
     content = F.lit(1.0) - F.col("tlt") / F.col("n") / log_m
     weight = F.pow(F.lit(GAMMA), F.col("v"))
-    importance = F.when(F.col("m") > 1, (1 - weight) * shape / log_m + weight * content).otherwise(F.lit(1.0))
+    measured = F.when(F.col("m") > 1, (1 - weight) * shape / log_m + weight * content).otherwise(F.lit(1.0))
+    importance = (F.col("m") * measured + PRIOR_PAGES) / (F.col("m") + PRIOR_PAGES)
     out = ways.join(texts, node)
     return out.select(
         "site", F.substring("path", 2, 2**31 - 1).alias("path"), F.startswith("path", F.lit("+")).alias("inside"),
@@ -102,7 +104,7 @@ def extract(pages: DataFrame) -> DataFrame:
     low = F.col("importance") < F.when(F.col("inside"), INSIDE).otherwise(OUTSIDE)
     mark = F.concat(F.when(F.col("inside"), "+").otherwise("-"), "path")
     # A removed node takes its branch along: no block stands above another in a path, so paths are leaves.
-    removed = tree.filter(low & (F.col("pages") >= MIN_PAGES)).groupBy("site").agg(F.collect_set(mark).alias("removed"))
+    removed = tree.filter(low).groupBy("site").agg(F.collect_set(mark).alias("removed"))
     removed = staged(removed, "removed-nodes")
     size = removed.agg(F.coalesce(F.sum(F.size("removed")), F.lit(0))).first()[0]
     judged = joined_small(rows, removed, "site", "left", size)

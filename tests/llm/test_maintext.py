@@ -43,6 +43,17 @@ def test_constant_branches_of_a_host_are_removed(spark):
     assert got[501][0] == "Same words on every page\n\nnone" and got[None] == ("", 0)
 
 
+def test_undeclared_noise_of_small_hosts_is_removed(spark):
+    page = '<div class="strip">All rights kept by us</div><div class="text"><p>{}</p></div><div class="story">{}</div>'
+    rows = [(10 * n + i, f"http://h{n}.example/{i}", page.format(f"Own {n} {i}", f"Part {n} {i}")) for n in (1, 2, 3, 7) for i in range(n)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in maintext.extract(df).collect()}
+    for n in (1, 2, 3, 7):
+        for i in range(n):
+            own = f"Own {n} {i}\n\nPart {n} {i}"
+            assert got[10 * n + i] == (own if n >= 3 else f"All rights kept by us\n\n{own}")
+
+
 def test_articles_stay(spark):
     page = "<article><h1>Same title</h1><p>{}</p></article>"
     rows = [(i, "http://h.example/", page.format(f"para {i % 30} words")) for i in range(60)]
