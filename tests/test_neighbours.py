@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -77,3 +79,31 @@ def test_smote_lies_between_minority_rows_and_balances(points):
     assert {r["count"] for r in per} == {250}
     again = smote.synthesize(df, seed=1).agg(F.sum(F.get("v", F.lit(0)))).first()[0]
     assert again == pytest.approx(sum(r.v[0] for r in rows))
+
+
+@pytest.mark.parametrize("copies", [1, 40])
+def test_memory_of_a_search_does_not_follow_the_points(copies, monkeypatch):
+    """Peak of the search over four times the points stays; the rows are those of brute force, copies included."""
+    monkeypatch.setattr(neighbours, "TILE_QUERIES", 32)
+    monkeypatch.setattr(neighbours, "TILE_POINTS", 256)
+    rng = np.random.default_rng(5)
+    peaks = []
+    for n in (4000, 16000):
+        p = np.repeat(rng.normal(size=(n // copies, 8)), copies, axis=0)
+        pid = rng.permutation(n)
+        tracemalloc.start()
+        got = neighbours._nearest(p[:100], pid[:100], p, pid, 5, True)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        d2 = ((p[:100, None, :] - p[None, :, :]) ** 2).sum(axis=2)
+        d2[np.arange(100), np.arange(100)] = np.inf
+        want = {int(pid[i]): [int(x) for x in pid[np.lexsort((pid, d2[i]))[:5]]] for i in range(100)}
+        assert {int(i): list(rows.pid) for i, rows in got.groupby("qid")} == want
+    assert peaks[1] < 1.5 * peaks[0] + 500_000
+
+
+def test_rows_that_repeat_an_id_are_no_neighbours_of_it():
+    p = np.array([[0.0], [0.0], [1.0], [2.0], [2.0], [5.0]])
+    pid = np.array([7, 7, 1, 2, 3, 4])
+    got = neighbours._nearest(p[:1], pid[:1], p, pid, 3, True)
+    assert list(got.pid) == [1, 2, 3]  # 2 and 3 tie for the last place among the four nearest
