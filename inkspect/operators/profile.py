@@ -52,14 +52,18 @@ def add_char_entropy(df: DataFrame, name: str = "char_entropy", text: str = "tex
 
 
 def word_counts(df: DataFrame, id_col: str = "doc_id", lower: bool = True) -> DataFrame:
-    """(doc_id, word, n) as a table, for callers that need the words themselves."""
+    """(doc_id, word, n) as a table, for callers that need the words themselves.
+
+    A row's words are counted as run lengths, and counts of one id are added up after the
+    shuffle: no task holds a table of the words of a whole input split.
+    """
     text = F.lower("text") if lower else F.col("text")
-    return (
-        df.select(id_col, F.explode_outer(tx.tokens(text)).alias("word"))
-        .where("word IS NOT NULL")
-        .groupBy(id_col, "word")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    rows = df.select(id_col, F.sort_array(tx.tokens(text)).alias("_w"))
+    rows = rows.select(id_col, "_w", tx.run_starts(F.col("_w")).alias("_s"))
+    runs = F.zip_with("_s", tx.gaps(F.col("_s"), F.size("_w")), lambda s, n: F.struct(s.alias("_at"), n.alias("n")))
+    rows = rows.select(id_col, "_w", F.inline_outer(runs)).where("_at IS NOT NULL")
+    rows = rows.select(id_col, F.get("_w", F.col("_at")).alias("word"), "n")
+    return rows.repartition(id_col, "word").groupBy(id_col, "word").agg(F.sum("n").alias("n"))
 
 
 def row_profile(df: DataFrame) -> DataFrame:

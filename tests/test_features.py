@@ -141,3 +141,15 @@ def test_top_words_word_edges(spark):
 def test_profile_rows_stay_narrow(texts):
     plan = profile.row_profile(texts("a b"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_words_of_a_split_are_in_no_table_before_the_shuffle(spark):
+    """Counts come from inside the rows; an id that repeats or is null adds up, and no aggregation precedes the shuffle."""
+    data = [(1, "b a B a"), (1, "a c"), (None, "x"), (None, "x y"), (2, None), (3, " ")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    counts = profile.word_counts(df)
+    assert sorted(((r.doc_id or 0, r.word, r.n) for r in counts.collect())) == [
+        (0, "x", 2), (0, "y", 1), (1, "a", 3), (1, "b", 2), (1, "c", 1)
+    ]
+    plan = counts._jdf.queryExecution().sparkPlan().toString() + counts._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan.split("Exchange hashpartitioning")[-1]
