@@ -107,3 +107,32 @@ def test_rows_that_repeat_an_id_are_no_neighbours_of_it():
     pid = np.array([7, 7, 1, 2, 3, 4])
     got = neighbours._nearest(p[:1], pid[:1], p, pid, 3, True)
     assert list(got.pid) == [1, 2, 3]  # 2 and 3 tie for the last place among the four nearest
+
+
+@pytest.mark.parametrize("groups", [1, 3])
+def test_groups_of_cells_are_exact(points, monkeypatch, groups):
+    v, df = points
+    monkeypatch.setattr(neighbours, "GROUP_BYTES", 300 // groups * 7 * 8)
+    got = neighbours.nearest(df, df, 5, "doc_id", "v", True, 0, 1).collect()
+    have = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        have.setdefault(r.qid, []).append(r.pid)
+    assert have == brute(v, 5)
+
+
+def test_rows_move_by_groups_of_cells_not_by_cells(spark):
+    """Small blocks are moved together: a query goes once to a group, not to each of 64 cells of it."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(rng.normal(size=(2000, 16)))]
+    df = spark.createDataFrame(rows, "pid long, v array<double>")
+    q = df.withColumnRenamed("pid", "qid")
+    for most, groups in ((2000, 1), (1000, 4)):
+        points, queries = neighbours._in_groups(q, df, 5, True, most)
+        assert queries.groupBy("qid").count().agg(F.max("count")).first()[0] <= groups
+        parts = points.select("part").distinct().count()
+        assert points.count() == 2000 * parts and parts <= max(8, 2000 // most)
+        assert points.groupBy("group", "part").count().agg(F.max("count")).first()[0] <= most
+
+
+def test_cells_are_packed_and_large_ones_spread():
+    assert neighbours._packed([4, 5, 2, 25, 1, 9], 10) == ([(0, 1), (0, 1), (1, 1), (2, 3), (5, 1), (5, 1)], 6)
