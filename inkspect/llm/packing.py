@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkspect.llm.common import id_text, joined_small, text_chunks
-from inkspect.llm.subwords import marking_encoder
+from inkspect.llm.subwords import marking_encoder as encoder
 from inkspect.session import staged
 
 WINDOW = 1024
@@ -54,7 +54,7 @@ def tokenised(docs: DataFrame, window: int = WINDOW, path: str | None = None) ->
     ])
 
     def run(batches):
-        encode, task = marking_encoder(path), TaskContext.get().partitionId()
+        encode, task = encoder(path), TaskContext.get().partitionId()
         for number, chunk in enumerate(text_chunks(batches)):
             if number % CHUNKS_PER_PART == 0:
                 ranks, full = defaultdict(int), 0
