@@ -29,6 +29,7 @@ from inkspect.session import staged
 
 SAMPLE_ROWS = 20_000
 PAIRS_PER_ROW = 8
+PAIR_BLOCK = 4_096
 RIDGE = 1e-3
 FOLDS = 3
 HELD_OUT = 1
@@ -103,12 +104,18 @@ def fit(raw: np.ndarray, label: np.ndarray, seed: int = 7) -> dict:
     x = _design(raw, mean, scale)
     rng = np.random.default_rng(seed)
     n = PAIRS_PER_ROW * max(len(good), len(bad))
-    d = x[rng.choice(good, n)] - x[rng.choice(bad, n)]
+    better, worse = rng.choice(good, n), rng.choice(bad, n)
     w = np.zeros(x.shape[1])
     for _ in range(25):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-        gradient = -(d.T @ p) / n + RIDGE * w
-        hessian = (d * (p * (1 - p))[:, None]).T @ d / n + RIDGE * np.eye(len(w))
+        gradient, hessian = np.zeros(len(w)), np.zeros((len(w), len(w)))
+        # The differences of all pairs would be many times the sample, so a block of them is held at a time.
+        for at in range(0, n, PAIR_BLOCK):
+            d = x[better[at:at + PAIR_BLOCK]] - x[worse[at:at + PAIR_BLOCK]]
+            p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
+            gradient -= d.T @ p
+            hessian += (d * (p * (1 - p))[:, None]).T @ d
+        gradient = gradient / n + RIDGE * w
+        hessian = hessian / n + RIDGE * np.eye(len(w))
         step = np.linalg.solve(hessian, gradient)
         w -= step
         if np.abs(step).max() < 1e-6:

@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -213,3 +214,16 @@ def test_quality_without_labels_and_odd_rows(spark):
     assert [(r["score"], r["predicted"]) for r in rows] == [(0.5, 1)] * 4
     assert quality.accepted(docs, none).columns == ["doc_id", "text", "score"]
     assert quality.classify(docs.limit(0), none).count() == 0
+
+
+def test_quality_fit_holds_few_pairs_at_a_time():
+    rng = np.random.default_rng(3)
+    raw, label = rng.random((4_000, quality.N_FEATURES)), np.arange(4_000) % 4 > 0
+    raw[label] += 0.2
+    tracemalloc.start()
+    model = quality.fit(raw, label.astype(int))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    x = quality._design(raw, model["mean"], model["scale"])
+    assert np.mean((x @ model["w"] >= model["threshold"]) == label) > 0.9
+    assert peak < 20e6  # the differences of all 24,000 pairs are 13 MB, held three times over
