@@ -96,6 +96,32 @@ def test_bigram_perplexity_against_counting(texts, monkeypatch):
     assert rows(bigram.perplexity(unseen, model, "doc_id"))[0]["ppl"] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("broadcast", [500_000, 3, 0])
+def test_own_perplexities_come_from_one_shuffle_of_the_texts(texts, broadcast, monkeypatch):
+    df = texts("a b a b", "a c", "", None, "d " * 300, "a b <s> a b\n\tb b", "e a f b g")
+    df = df.unionByName(df.selectExpr("CAST(nullif(doc_id, 0) AS long) AS doc_id", "text"))
+    model, own = bigram.fit_own(df, "doc_id")
+    plain = bigram.fit(df)
+    assert (model.tokens, model.vocabulary) == (plain.tokens, plain.vocabulary)
+    for name in ("pairs", "words"):
+        assert sorted(map(tuple, getattr(model, name).collect())) == sorted(map(tuple, getattr(plain, name).collect()))
+    # A pair is one row of its text, however often the text repeats it.
+    assert own.where("doc_id = 4").count() == 2 * 2
+    want = sorted((repr(r["doc_id"]), round(r["ppl"], 9)) for r in bigram.block_e(df, plain).collect())
+    monkeypatch.setattr(bigram, "BROADCAST_WORDS", broadcast)
+    found = bigram.block_e(df, model, own=own).collect()
+    assert sorted((repr(r["doc_id"]), round(r["ppl"], 9)) for r in found) == want
+
+
+def test_frequent_words_stay_within_their_limit(spark):
+    words = spark.createDataFrame([(f"w{i}", i // 3, i % 3) for i in range(60)], "w string, n long, c long")
+    for limit in (0, 1, 7, 59, 100):
+        kept = {r["n"] + r["c"] for r in bigram.frequent(words, limit).collect()}
+        left = {r["n"] + r["c"] for r in words.collect()} - kept
+        assert bigram.frequent(words, limit).count() <= limit and min(kept, default=99) > max(left - {0}, default=0)
+    assert bigram.frequent(words, 100).count() == 59 and bigram.frequent(words, 40).count() > 20
+
+
 def test_style_signals(texts):
     got = rows(
         style.style_signals(
