@@ -37,6 +37,17 @@ def test_classifier_separates_toy_classes_and_is_stored(toy, spark, tmp_path, na
     assert sorted(map(tuple, again.apply(test).select(*columns).collect())) == sorted(map(tuple, rows))
 
 
+def test_rows_of_a_forest_keep_their_nodes_and_give_the_same_trees(toy):
+    assert classifiers.ESTIMATORS["RandomForest"](120, 2).getCacheNodeIds()
+    noisy = toy.withColumn("label", F.when(F.col("doc_id") % 7 == 0, 1 - F.col("label")).otherwise(F.col("label")))
+
+    def predictions(**options):
+        found = classifiers.fit_predict("RandomForest", noisy, noisy, numTrees=5, **options)
+        return sorted((r["doc_id"], r["prediction"], r["p1"]) for r in found.collect())
+
+    assert predictions() == predictions(cacheNodeIds=False)
+
+
 def test_unknown_name_falls_back():
     assert classifiers.resolve("nothing") == classifiers.FALLBACK
 
