@@ -2,6 +2,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from inkspect.catalog import queries
 from inkspect.operators import classifiers, clean, metrics
 from inkspect.plans import features as ft
 from inkspect.plans import scoring, selection
@@ -152,3 +153,35 @@ def test_stream_equals_batch_and_saved_models_agree(spark, sf, trained, tmp_path
     assert again == batch
     assert len(batch) == docs.count()
     assert all((reason is None) == (p_ai is not None) for reason, _, p_ai, _ in batch.values())
+
+
+@pytest.fixture
+def loops(toy, spark, tmp_path, monkeypatch):
+    """What the registered loops give to their models: (loop or model, its options) instead of fits."""
+    given = []
+
+    def run_units(spark, names, sides, parts, mark, id_col, options, ledger, workers):
+        given.append((len(names), len(parts), options))
+        rows = [(n, p, mark, *([1 / (1 + i)] * len(metrics.METRICS))) for i, n in enumerate(names) for p in parts]
+        return spark.createDataFrame(rows, selection.UNIT)
+
+    class Parts:
+        def __init__(self, *_, **__):
+            pass
+
+        def screen(self, names, **settings):
+            return selection.screen(toy, names, **settings)
+
+        def final(self):
+            return toy
+
+    monkeypatch.setattr(selection, "run_units", run_units)
+    monkeypatch.setattr(selection, "Splits", Parts)
+    monkeypatch.setattr(queries, "_cleaned", lambda *_: toy.withColumn("text", F.lit("some words")))
+    monkeypatch.setattr(queries, "_split_tables", {})
+    return given
+
+
+def test_registered_screening_fits_every_model_with_its_defaults(loops, spark):
+    assert queries.screening(spark, "nowhere").count() == len(classifiers.NAMES)
+    assert loops == [(len(classifiers.NAMES), 5, {})]
