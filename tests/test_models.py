@@ -185,3 +185,8 @@ def loops(toy, spark, tmp_path, monkeypatch):
 def test_registered_screening_fits_every_model_with_its_defaults(loops, spark):
     assert queries.screening(spark, "nowhere").count() == len(classifiers.NAMES)
     assert loops == [(len(classifiers.NAMES), 5, {})]
+
+
+def test_registered_stability_fits_every_model_with_its_defaults(loops, spark):
+    assert queries.stability_run(spark, "nowhere").count() == 5 * 5
+    assert loops[1:] == [(5, 5, {})]
