@@ -190,3 +190,10 @@ def test_registered_screening_fits_every_model_with_its_defaults(loops, spark):
 def test_registered_stability_fits_every_model_with_its_defaults(loops, spark):
     assert queries.stability_run(spark, "nowhere").count() == 5 * 5
     assert loops[1:] == [(5, 5, {})]
+
+
+def test_registered_final_model_is_fitted_with_its_defaults(loops, spark, monkeypatch):
+    fits = []
+    monkeypatch.setattr(selection, "train_final", lambda *table, **options: (None, None, fits.append(options)))
+    queries.final_model(spark, "nowhere")
+    assert fits == [{}]
