@@ -197,3 +197,12 @@ def test_registered_final_model_is_fitted_with_its_defaults(loops, spark, monkey
     monkeypatch.setattr(selection, "train_final", lambda *table, **options: (None, None, fits.append(options)))
     queries.final_model(spark, "nowhere")
     assert fits == [{}]
+
+
+def test_registered_scoring_models_are_fitted_with_their_defaults(loops, spark, monkeypatch):
+    fits, rounds = [], []
+    monkeypatch.setattr(classifiers, "fit", lambda name, rows, **options: fits.append((name, options)))
+    monkeypatch.setattr(scoring.ft, "fit_state", lambda *_: None)
+    monkeypatch.setattr(scoring, "train_detector", lambda texts, which, iterations, id_col: rounds.append(iterations))
+    queries._models(spark, "nowhere")
+    assert fits == [(classifiers.NAMES[0], {}), ("LogisticRegression", {})] and rounds == [100, 100]
