@@ -43,3 +43,15 @@ def test_stored_training_blocks_equal_those_of_scoring(spark, sf, tmp_path):
     b = ft.matrix(docs, ft.block_frames(docs, state)).select("doc_id", F.expr("aggregate(v, 0D, (a, x) -> a + x)").alias("s"))
     left, right = ({r.doc_id: r.s for r in x.collect()} for x in (a, b))
     assert len(left) == docs.count() and all(abs(left[i] - right[i]) < 1e-6 * max(1, abs(right[i])) for i in left)
+
+
+def test_parity_compares_every_feature_of_the_matrix(texts, tmp_path):
+    docs = texts("One two, three. Four five six!", "two two THREE", "", None)
+    state, own = ft.fit_own(docs)
+    stored = ft.stored_blocks(docs, state, str(tmp_path), own=own)
+    serving = ft.block_frames(docs, state)
+    rows = ft.parity(stored, serving).collect()
+    assert len({r.feature for r in rows}) == len(rows) == ft.DIMS and all(r.n >= 3 and r.n_off == 0 for r in rows)
+    moved = F.transform("hashed", lambda v: v + 1)
+    rows = ft.parity(stored, serving | {"hashed": serving["hashed"].withColumn("hashed", moved)}).collect()
+    assert sum(r.n_off > 0 for r in rows) == 384 and all(r.n_off == r.n for r in rows if r.feature.startswith("hashed_"))
