@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkspect.functions import counts
 from inkspect.functions import lexicons as lx
 from inkspect.functions import text as tx
 from inkspect.operators.profile import add_char_entropy
@@ -49,13 +50,11 @@ def row_blocks(df: DataFrame) -> DataFrame:
     )
     base = base.select(
         *keep, "_w", "_lt",
-        F.sort_array("_w").alias("_sw"),
+        counts.word_frequencies(text.cast("binary")).alias("_freq"),
         F.transform("_w", F.lower).alias("_lw"),
         F.filter(F.transform("_p", tx.n_tokens), lambda n: n > 0).alias("_sl"),
         tx.sentence_openers(F.col("_lt")).alias("_so"),
     )
-    base = base.withColumn("_starts", tx.run_starts(F.col("_sw")))
-    base = base.withColumn("_freq", tx.gaps(F.col("_starts"), F.size("_sw")))
     base = base.select(
         *keep, "_w", "_lt", "_lw", "_so", "_freq",
         F.greatest(F.size("_w"), F.lit(1)).alias("_nw"),
@@ -120,30 +119,9 @@ def numeric_blocks(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-def bucket_of(word: Column, dims: int = HASH_DIMS) -> Column:
-    """Hash bucket of a word from the first 32 bits of its md5."""
-    return F.pmod(F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long"), F.lit(dims)).cast("int")
-
-
 def term_frequencies(df: DataFrame, id_col: str = "doc_id", dims: int = HASH_DIMS) -> DataFrame:
-    """(id, tf): words of the lower-cased text per bucket as a dense array.
-
-    Every bucket number is appended once before sorting, so run ``i`` of the
-    sorted array is bucket ``i`` and its length is the frequency plus one.
-    """
-    buckets = df.select(
-        id_col,
-        F.sort_array(
-            F.concat(
-                F.transform(tx.tokens(F.lower("text")), lambda w: bucket_of(w, dims)),
-                F.sequence(F.lit(0), F.lit(dims - 1)),
-            )
-        ).alias("_b"),
-    )
-    runs = buckets.withColumn("_starts", tx.run_starts(F.col("_b")))
-    return runs.select(
-        id_col, F.transform(tx.gaps(F.col("_starts"), F.size("_b")), lambda n: n - 1).alias("tf")
-    )
+    """(id, tf): words of the lower-cased text per bucket, the first 32 bits of their md5 modulo ``dims``, as a dense array."""
+    return df.select(id_col, counts.bucket_counts(dims)(F.lower("text").cast("binary")).alias("tf"))
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:

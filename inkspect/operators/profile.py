@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkspect.functions import counts
 from inkspect.functions import lexicons as lx
 from inkspect.functions import text as tx
 
@@ -42,13 +43,8 @@ def _over(count: Column, whole: Column) -> Column:
 
 
 def add_char_entropy(df: DataFrame, name: str = "char_entropy", text: str = "text") -> DataFrame:
-    """Bits per character, log2(N) - sum(n log2 n) / N, from the runs of a text's sorted characters."""
-    chars = F.array_remove(F.split(F.coalesce(text, F.lit("")), ""), "")
-    rows = df.withColumn("_chars", F.sort_array(chars))
-    rows = rows.withColumn("_runs", tx.run_starts(F.col("_chars")))
-    n = F.size("_chars")
-    bits = F.log2(n.cast("double")) - tx.plogp(tx.gaps(F.col("_runs"), n)) / n
-    return rows.withColumn(name, F.when(n > 0, bits).otherwise(0.0)).drop("_chars", "_runs")
+    """Bits per character, log2(N) - sum(n log2 n) / N, of a text's characters."""
+    return df.withColumn(name, counts.char_entropy(F.col(text).cast("binary")))
 
 
 def word_counts(df: DataFrame, id_col: str = "doc_id", lower: bool = True) -> DataFrame:
