@@ -113,18 +113,30 @@ def token_scores(ws: list[bytes], score: Callable[[bytes], float]) -> np.ndarray
     return x - DRIFT
 
 
-def posterior(counts: Callable[[bytes], tuple | None], entries: list[bytes], prior: float) -> float:
-    """Share of toxic texts for a chain of entries; each one's prior mean is the one before it."""
-    q = prior
+def posterior(counts: Callable[[bytes], tuple | None], entries: list[bytes], prior: float) -> tuple[float, float]:
+    """Shares of toxic and of clean texts for a chain of entries; each one's prior mean is the one before it.
+
+    Both shares are kept: after some entries that clean texts never have, 1 less the toxic share would be 0.
+    """
+    q, r = prior, 1 - prior
     for e in entries:
         n = counts(e)
         if n is not None:
-            q = (n[0] + PRIOR * q) / (n[0] + n[1] + PRIOR)
-    return q
+            q, r = updated(n, q, r)
+    return q, r
+
+
+def updated(n: tuple[float, float], q: float, r: float) -> tuple[float, float]:
+    total = n[0] + n[1] + PRIOR
+    return (n[0] + PRIOR * q) / total, (n[1] + PRIOR * r) / total
+
+
+def log_odds(q: float, r: float) -> float:
+    return math.log(q) - math.log(r)
 
 
 def logit(q: float) -> float:
-    return math.log(q / (1 - q))
+    return log_odds(q, 1 - q)
 
 
 def pruned(found: dict[bytes, tuple[float, float]], prior: float) -> tuple[dict, dict]:
@@ -133,9 +145,9 @@ def pruned(found: dict[bytes, tuple[float, float]], prior: float) -> tuple[dict,
     for e in sorted(found, key=lambda e: (e[-1:] == b" ", len(e))):
         line = chain(e[:-1]) if e[-1:] == b" " else [*(e[:k] for k in CUTS if k < len(e)), e]
         above = posterior(kept.get, line[:-1], prior)
-        q = (found[e][0] + PRIOR * above) / (sum(found[e]) + PRIOR)
-        if abs(logit(q) - logit(above)) >= LEAST_STEP:
-            kept[e], odds[e] = found[e], logit(q) - logit(prior)
+        own = log_odds(*updated(found[e], *above))
+        if abs(own - log_odds(*above)) >= LEAST_STEP:
+            kept[e], odds[e] = found[e], own - logit(prior)
     return kept, odds
 
 
@@ -279,7 +291,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
                 n = counts.get(e)
                 return n and ((max(n[0] - mine[e], 0.0), n[1]) if y else (n[0], max(n[1] - mine[e], 0.0)))
 
-            by_word = {w: logit(posterior(without, chain(w), prior)) - logit(prior) for w in set(ws)}
+            by_word = {w: log_odds(*posterior(without, chain(w), prior)) - logit(prior) for w in set(ws)}
             held = [s for s, _, _ in segments(token_scores(ws, by_word.__getitem__))]
             out["y"].append(y)
             out["size"].append(len(ws))

@@ -52,6 +52,19 @@ def test_rare_words_inherit_from_their_prefix():
     assert abs(odds[b"abc"] - (tx.logit(q) - tx.logit(0.1))) < 1e-12
 
 
+def test_words_that_only_one_kind_of_text_has(spark):
+    """A long word of many toxic texts and no clean one: 1 less its toxic share is 0 in floating point."""
+    word = b"scumbagginess"
+    for counts, sign in (((2000.0, 0.0), 1), ((0.0, 2000.0), -1)):
+        kept, odds = tx.pruned(dict.fromkeys(tx.chain(word), counts), 0.1)
+        want = sign * sum(np.log(2003 / 3) for _ in tx.chain(word))
+        assert len(kept) == 8 and abs(odds[word + b" "] - want) < 4 and np.isfinite(list(odds.values())).all()
+    docs, labels = corpus(spark, 1800)
+    loud = docs.join(labels, "doc_id").selectExpr("doc_id", "if(toxic = 1, concat(text, ' disgustingly ', doc_id), text) text", "score")
+    shown = tx.classify(loud, labels).join(labels, "doc_id").collect()
+    assert all(r["predicted"] == r["toxic"] for r in shown if r["held_out"])
+
+
 def corpus(spark, n=400):
     rng = random.Random(4)
     vocabulary = [f"word{i}" for i in range(300)]
